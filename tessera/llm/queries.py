@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import bpe, mixing, quality_rules, sharding
+
+
+#: Labelled rows that make up the trusted sample of the quality rules, at most.
+TRUSTED = 4000
+LLR_THRESHOLD = -0.06
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +22,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where("quality = 1")
+    trusted = labels.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), trusted, buckets=1 << 16, threshold=LLR_THRESHOLD)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return digests(bpe.decode(encoded, path))
+
+
+def digests(decoded: DataFrame) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
     return taken.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op6_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality_rules, op5_bpe, op6_mixing)}
