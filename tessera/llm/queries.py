@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, sharding
+from . import bpe, mixing, quality_rules, secrets, sharding
 
 
 #: Labelled rows that make up the trusted sample of the quality rules, at most.
@@ -46,4 +46,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality_rules, op5_bpe, op6_mixing)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), secrets.RULES)
+    count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long")
+    base = F.filter("spans", lambda x: x.kind.isin([r.kind for r in secrets.RULES if r.base]))
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality_rules, op5_bpe, op6_mixing, op9_secrets)}
