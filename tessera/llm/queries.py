@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, secrets, sharding
+from . import bpe, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 
 #: Labelled rows that make up the trusted sample of the quality rules, at most.
@@ -46,6 +46,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4
+    labels = _table(spark, sf_dir, "labels").where(part("doc_id") != 2)
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), labels, most=3000, threshold=0.3)
+    return scored.select(
+        "doc_id", F.coalesce(part("doc_id") == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "lang_threshold", "flagged",
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"), secrets.RULES)
     count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long")
@@ -56,4 +66,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality_rules, op5_bpe, op6_mixing, op9_secrets)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), most=6000)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_quality_rules, op5_bpe, op6_mixing, op7_toxicity, op9_secrets, op10_quality_classifier)}
