@@ -67,3 +67,36 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     for c in [*group, "_piece"]:
         cond = cond & inside[c].eqNullSafe(sizes[f"_r_{c}"])
     return inside.join(sizes, cond).select(*[inside[c] for c in df.columns], (F.col("_in") + F.col("_r__before")).alias(name))
+
+
+#: Rows of a side that is broadcast, at most; some 16 bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def only(df: DataFrame, ids: DataFrame, column: str, rows: int | None = None) -> DataFrame:
+    """The rows of df whose `column` is in ids (one column of the same name, distinct): by
+    a broadcast if ids are counted and few, else by a shuffle of both."""
+    n = ids.count() if rows is None else rows
+    return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, column, "left_semi")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that each id of `edges` (a, b: long) can reach.
+
+    Large-star and small-star in turn (Kiveris et al., 2014): every step hangs neighbours
+    on smaller ones, and the number of steps grows with the logarithm of a path's length.
+    Each step ends in a table in the shared folder.
+    """
+    now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    while True:
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(now.select(F.col("b"), F.col("b")).distinct())
+        seen = state
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        large = both.join(low, both["a"] == low["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        small = large.join(low, large["a"] == low["u"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = stored(small.unionAll(low.select("u", "m")).distinct())
