@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from . import bpe, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 
 #: Labelled rows that make up the trusted sample of the quality rules, at most.
@@ -60,6 +60,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=5, percent=75)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"), secrets.RULES)
     count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long")
@@ -74,4 +78,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), most=6000)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op4_quality_rules, op5_bpe, op6_mixing, op7_toxicity, op9_secrets, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op4_quality_rules, op5_bpe, op6_mixing, op7_toxicity, op8_near_dedup, op9_secrets, op10_quality_classifier)}
