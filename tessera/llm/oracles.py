@@ -39,4 +39,17 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op6_mixing": OP6}
+OP3 = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY doc_id, term),
+l AS (SELECT d.doc_id, CAST(coalesce(sum(p.tf), 0) AS DOUBLE) AS len FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id),
+a AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(len) / count(*) AS mean FROM l),
+f AS (SELECT term, ln(CAST(1 AS DOUBLE) + (a.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, a GROUP BY term, a.n),
+v AS (SELECT p.doc_id, p.term, p.tf * CAST(2.2 AS DOUBLE) / (p.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l.len / a.mean)) AS value FROM p JOIN l USING (doc_id), a),
+s AS (SELECT q.doc_id AS query_id, v.doc_id, sum(round(q.tf * f.idf * v.value * 1000000)) AS score
+      FROM p q JOIN f USING (term) JOIN v USING (term) WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, v.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score / 1000000 AS score FROM r WHERE rank <= 10
+"""
+
+ORACLES = {"op3_search": OP3, "op2_line_dedup": OP2, "op6_mixing": OP6}

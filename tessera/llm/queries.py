@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, sharding, toxicity
+from . import bpe, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, search, secrets, sharding, toxicity
 
 
 #: Labelled rows that make up the trusted sample of the quality rules, at most.
@@ -26,6 +26,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where("quality = 1")
     trusted = labels.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
@@ -78,4 +83,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), most=6000)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op4_quality_rules, op5_bpe, op6_mixing, op7_toxicity, op8_near_dedup, op9_secrets, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_search, op4_quality_rules, op5_bpe, op6_mixing, op7_toxicity, op8_near_dedup, op9_secrets, op10_quality_classifier)}
