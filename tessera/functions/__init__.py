@@ -38,7 +38,7 @@ def parse_moment(text: str) -> datetime | None:
 
 def number_text(c: Column, fractional: bool) -> Column:
     """A number as text: without exponent, without trailing zeros."""
-    return F.regexp_replace(F.format_number(c, "0.####################"), ",", "") if fractional else c.cast("string")
+    return F.regexp_replace(F.call_function("format_number", c, F.lit("0.####################")), ",", "") if fractional else c.cast("string")
 
 
 def trim(c: Column, start: bool = True, end: bool = True) -> Column:
