@@ -92,11 +92,16 @@ class Compiler:
         self.fields: dict[str, T.StructField] = {}
         for f in df.schema.fields:
             self.fields.setdefault(f.name.lower(), f)
+        # The same name in camel or snake case, where it is one column's only.
+        loose: dict[str, list[T.StructField]] = {}
+        for f in self.fields.values():
+            loose.setdefault(_loose(f.name), []).append(f)
+        self.loose = {k: v[0] for k, v in loose.items() if len(v) == 1}
 
     # Names and values.
 
     def field(self, name: str) -> T.StructField | None:
-        return self.fields.get(name.lower())
+        return self.fields.get(name.lower()) or (self.loose.get(_loose(name)) if "_" in name or name != name.lower() else None)
 
     def column(self, name: str) -> Value:
         f = self.field(name)
@@ -446,6 +451,10 @@ class Compiler:
         return out.select(ast.Select(tuple(items), None, having, order=tuple(order), limit=node.limit, offset=node.offset, distinct=node.distinct))
 
 
+def _loose(name: str) -> str:
+    return name.replace("_", "").lower()
+
+
 def _op(op: str, a: Column, b: Column) -> Column:
     return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 

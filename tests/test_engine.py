@@ -74,3 +74,9 @@ def test_result_hides_empty(spark):
     e = Engine(spark).load_rows([{"a": 1, "b": None}, {"a": 2, "b": " "}])
     r = e.query("SELECT * FROM data", hide_empty=True)
     assert r.df.columns == ["a"] and r.hidden == ("b",) and r.table == "data"
+
+
+def test_names_in_other_cases(spark):
+    e = Engine(spark).load_rows([{"platform_order_id": 1, "tradeDate": "x"}])
+    assert e.sql("SELECT platformOrderId, trade_date, TradeDate FROM data").columns == ["platform_order_id", "tradeDate", "tradeDate"]
+    assert e.sql("SELECT tradeDate FROM data WHERE PlatformOrderId = 1").count() == 1
