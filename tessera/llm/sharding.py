@@ -110,9 +110,11 @@ def splitters(rows: DataFrame, shards: int, per_shard: int, tolerance: float, gr
         probes = sorted({p for s in open_ for p in s.probes()})
         if not probes:
             break
-        for p, size, rows_in in zip(probes, *below(rows, np.array(probes, np.int64)), strict=True):
-            for s in open_:
-                s.learn(p, int(size), int(rows_in))
+        size, rows_in = below(rows, np.array(probes, np.int64))
+        for s in open_:  # the probes next to the goal tell all
+            at = int(np.searchsorted(size, s.goal, side="right"))
+            for i in range(max(0, at - 1), min(len(probes), at + 1)):
+                s.learn(probes[i], int(size[i]), int(rows_in[i]))
     found = [s.best() for s in every]
     for i in range(1, len(found)):
         found[i] = max(found[i], found[i - 1], key=lambda e: e[0])
