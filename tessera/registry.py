@@ -352,6 +352,16 @@ sql_query("cte", "WITH big AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice
 sql_query("scalar_subquery", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4) AS above FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
 sql_query("alias_filter", "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS amount FROM lineitem) t WHERE amount > 2000000")
 sql_query("union_parts", "SELECT n_name AS name FROM nation UNION SELECT r_name AS name FROM region")
+sql_query(
+    "rank_fns",
+    "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus) AS BIGINT) AS dr, "
+    "CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS BIGINT) AS quarter, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS fst FROM orders",
+)
+sql_query("cube_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+sql_query("intersect_keys", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier")
+sql_query("except_keys", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 20")
+sql_query("semi_anti", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
+sql_query("json_props", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 
 names = reduce(lambda a, b: a | {b}, QUERIES, set())
 assert names == set(ORACLES)

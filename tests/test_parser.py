@@ -19,6 +19,10 @@ def test_no_from_and_comments():
     assert parse("SELECT * -- all\nWHERE x = 1").table is None
 
 
+def test_aliases():
+    assert [i.alias for i in parse("SELECT a AS x, SUM(b) total, c \"The C\" FROM t").items] == ["x", "total", "The C"]
+
+
 def test_precedence_and_flat():
     a, b, c = (ast.Compare("=", ast.Name(n), ast.Number("1")) for n in "abc")
     assert where("a = 1 OR b = 1 AND c = 1") == ast.Logic("OR", a, ast.Logic("AND", b, c))
