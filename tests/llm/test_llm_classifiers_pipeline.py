@@ -46,6 +46,16 @@ def test_toxicity_ignores_lang_source_and_id(docs, corpus):
     assert score([(1, rows[0][1], "a", "en")]) == score([(77, rows[0][1], "b", None)])
 
 
+def test_scores_dont_depend_on_neighbours():
+    rng = np.random.default_rng(1)
+    net = toxicity.Network(buckets=64, seed=1)
+    net.embed[:-1] = rng.normal(0, 1, net.embed[:-1].shape)
+    parts = np.array([[64] * 5] + [[i % 64] * 5 for i in range(40)])
+    texts = [rng.integers(1, 40, n).tolist() for n in (5, 0, 1, 2, 30, 3)]
+    together = net.forward(texts, parts)
+    assert np.allclose(together, np.concatenate([net.forward([t], parts) for t in texts]), atol=1e-5)
+
+
 def test_toxicity_odd(spark, docs, odd, corpus):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs(odd), none).collect()
