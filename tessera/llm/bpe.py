@@ -26,13 +26,14 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import lean, small_batches
+
 ROWS = 50_000
 
 
@@ -43,7 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _blocks(batches, pattern: str, block_bytes: int):
-    """(key, ids of documents, sequences, distinct words) for each block of documents."""
+    """(key, ids of documents, sequences, distinct words by number) for each block of documents."""
     split, part, nth = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
 
     def new():
@@ -62,11 +63,24 @@ def _blocks(batches, pattern: str, block_bytes: int):
             digest.update(t.encode())
             held += len(t)
             if held >= block_bytes:
-                yield _key(part, nth, digest, len(ids)), ids, seqs, number
+                yield _key(part, nth, digest, len(ids)), ids, *_by_count(seqs, number)
                 number, ids, seqs, digest = new()
                 held, nth = 0, nth + 1
     if ids:
-        yield _key(part, nth, digest, len(ids)), ids, seqs, number
+        yield _key(part, nth, digest, len(ids)), ids, *_by_count(seqs, number)
+
+
+def _by_count(seqs: list[np.ndarray], number: dict[str, int]) -> tuple[list[np.ndarray], list[str]]:
+    """Sequences and words renumbered, frequent words first: small numbers compress well."""
+    counts = np.bincount(np.concatenate(seqs), minlength=len(number))
+    order = np.argsort(-counts, kind="stable")
+    new = np.empty(len(order), np.uint32)
+    new[order] = np.arange(len(order))
+    words = list(number)
+    number.clear()
+    for i, s in enumerate(seqs):
+        seqs[i] = new[s]
+    return seqs, [words[i] for i in order.tolist()]
 
 
 def _key(part: int, nth: int, digest, rows: int) -> int:
@@ -74,29 +88,40 @@ def _key(part: int, nth: int, digest, rows: int) -> int:
 
 
 def _pack(seq: np.ndarray) -> bytes:
-    """Byte planes, as the upper bytes are mostly zero, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Numbers below 255 as one byte; of the others a 255 there, and planes of bytes of their own; compressed."""
+    large = seq[seq >= 255] - 255
+    planes = (large.astype("<u4").view(np.uint8).reshape(-1, 4).T)[:4]
+    data = np.minimum(seq, 255).astype(np.uint8).tobytes() + planes.tobytes()
+    return len(seq).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    n = int.from_bytes(data[:4], "little")
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8)
+    seq = flat[:n].astype(np.uint32)
+    seq[seq == 255] += np.ascontiguousarray(flat[n:].reshape(4, -1).T).view("<u4").ravel()
+    return seq
 
 
-def _sequences(pattern: str, block_bytes: int):
+def _sequences(pattern: str, block_bytes: int, kind: pa.DataType):
+    """A row for some hundred documents of a block: their ids, and their sequences one after the other."""
+
     def run(batches):
-        for key, ids, seqs, number in _blocks(batches, pattern, block_bytes):
-            for i in range(0, len(ids), 2000):
-                part = seqs[i : i + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), pa.array([len(number)] * len(part), pa.int64()), pa.array(ids[i : i + 2000]), pa.array([_pack(s) for s in part], pa.binary())], ["block", "words", "doc_id", "seq"])
+        for key, ids, seqs, words in _blocks(batches, pattern, block_bytes):
+            n = len(words)
+            words.clear()
+            for i in range(0, len(ids), 500):
+                part = seqs[i : i + 500]
+                cells = ([key], pa.int64()), ([n], pa.int64()), ([[x.as_py() for x in ids[i : i + 500]]], pa.list_(kind)), ([[len(s) for s in part]], pa.list_(pa.int64())), ([_pack(np.concatenate(part))], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cells], ["block", "words", "doc_ids", "sizes", "seq"])
 
     return run
 
 
 def _words(pattern: str, block_bytes: int):
     def run(batches):
-        for key, _, _, number in _blocks(batches, pattern, block_bytes):
-            every = list(number)
+        for key, _, seqs, every in _blocks(batches, pattern, block_bytes):
+            seqs.clear()
             for i in range(0, len(every), ROWS):
                 part = every[i : i + ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["block", "number", "word"])
@@ -108,6 +133,8 @@ def _merge(ranks, pattern: str, dtype: str):
     """Ids of each word; equal words stand together, and the merges see one of them."""
 
     def run(batches):
+        import tiktoken  # here only: the tasks that split texts need the memory
+
         one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
         last, ids = None, b""
         for b in batches:
@@ -139,15 +166,17 @@ def _together(dtype: str, type_name: pa.DataType):
             parts.append(data)
             base += len(data)
         flat = np.concatenate(parts) if parts else np.zeros(0, dtype)
-        out = []
-        for packed in docs.column("seq").to_pylist():
-            seq = _unpack(packed)
-            sizes = size[seq]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(seq) else 0
-            at = np.repeat(start[seq] - ends + sizes, sizes) + np.arange(total)
-            out.append(flat[at].astype(np.int32))
-        return pa.table({"doc_id": docs.column("doc_id").cast(type_name), "ids": pa.array(out, pa.list_(pa.int32()))})
+        ids, out = [], []
+        for doc_ids, sizes, packed in zip(*[docs.column(c).to_pylist() for c in ("doc_ids", "sizes", "seq")], strict=True):
+            every = _unpack(packed)
+            ids += doc_ids
+            for seq in np.split(every, np.cumsum(sizes)[:-1]):
+                each = size[seq]
+                ends = np.cumsum(each)
+                total = int(ends[-1]) if len(seq) else 0
+                at = np.repeat(start[seq] - ends + each, each) + np.arange(total)
+                out.append(flat[at].astype(np.int32))
+        return pa.table({"doc_id": pa.array(ids, type_name), "ids": pa.array(out, pa.list_(pa.int32()))})
 
     return run
 
@@ -155,14 +184,15 @@ def _together(dtype: str, type_name: pa.DataType):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 32 << 20, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, ids array<int>) of every document, as the merges of the rank file have it."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     ranks = read_ranks(ranks_path)
     dtype = "<u2" if max(ranks.values()) < 2**16 else "<u4"
     shared = spark.sparkContext.broadcast(ranks)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType
     arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    seqs = docs.mapInArrow(_sequences(pattern, block_bytes), f"block long, words long, doc_id {kind.simpleString()}, seq binary")
-    words = docs.mapInArrow(_words(pattern, block_bytes), "block long, number int, word string")
+    seqs = docs.mapInArrow(lean(_sequences(pattern, block_bytes, arrow)), f"block long, words long, doc_ids array<{kind.simpleString()}>, sizes array<long>, seq binary")
+    words = docs.mapInArrow(lean(_words(pattern, block_bytes)), "block long, number int, word string")
     ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_merge(shared, pattern, dtype), "block long, number int, ids binary")
     joined = seqs.groupBy("block").cogroup(ids.groupBy("block"))
     return joined.applyInArrow(_together(dtype, arrow), f"doc_id {kind.simpleString()}, ids array<int>")
@@ -184,4 +214,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], [*b.schema.names, "decoded"])
 
     schema = encoded.limit(0).select("*", F.lit(b"").alias("decoded")).schema
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)
