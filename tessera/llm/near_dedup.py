@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, only, ranked, stored
+from ._shared import components, lean, only, ranked, small_batches, stored
 
 K = 32
 #: Members of a list up to which its pairs are listed; and members of a block.
@@ -61,7 +61,7 @@ class Shingles:
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # bytes: ASCII letters and ASCII white space only
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         known, out = self.known, []
         for w in words:
@@ -146,7 +146,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     met = first.unionAll(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "turn")
-    return stored(met.mapInArrow(compare, "a long, b long"))
+    return stored(met.mapInArrow(lean(compare), "a long, b long"))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -235,8 +235,9 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(docs.mapInArrow(_sketches(shingle), "doc_id long, n long, d1 long, d2 long, sketch array<long>"))
+    rows = stored(docs.mapInArrow(lean(_sketches(shingle)), "doc_id long, n long, d1 long, d2 long, sketch array<long>"))
     full = rows.where("n > 0 and doc_id is not null")
     reps = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     members = stored(full.select("doc_id", "n", "d1", "d2", "sketch").join(reps, ["d1", "d2"]))
@@ -249,7 +250,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     lists = stored(keys.join(shared, "key"))
 
     star = lists.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    same_id = members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    # An id with several texts stands in several classes and links them.
+    spread = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi")
+    same_id = members.select("doc_id", F.col("rep").alias("b")).join(spread, "doc_id").where("a != b").select("a", "b").distinct()
     edges = _verified(_promising(star, classes, percent), texts, shingle, percent)
 
     open_lists = _labelled(lists, edges)
@@ -270,10 +273,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     long_ = stored(long_.join(often, "rep"))
     edges = stored(edges.unionAll(more).unionAll(_across(long_, texts, shingle, percent)).unionAll(same_id))
 
-    ids = members.select("doc_id", "d1", "d2", "rep").distinct()
-    of = _labelled(ids, edges)
-    least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of = of.join(least, "comp").groupBy("doc_id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("doc_id", "id")
+    # A class goes by its smallest id, and a component by its smallest class.
+    of = _labelled(members.select("doc_id", "rep").distinct(), edges)
+    of = of.groupBy("doc_id").agg(F.min("comp").alias("component_id")).withColumnRenamed("doc_id", "id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(of, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

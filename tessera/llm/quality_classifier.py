@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import lean, small_batches, stored
 
 _split = re.compile(r"[^\x20\x09-\x0D]+").findall
 _shape = [(re.compile(p), r) for p, r in ((r"[a-zß-öø-ÿ]+", "a"), (r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[0-9]+", "0"))]
 _runs = re.compile(r"(.)\1+", re.S)
-CACHE = 300_000
+CACHE = 100_000
 
 
 def word_shape(word: str) -> str:
@@ -134,20 +134,24 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = 6000, threshold: fl
 
     A path is (host, path_col). score is the posterior probability of good quality.
     """
+    small_batches(docs.sparkSession)
     carried = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), *carried)
-    model, rate = fit_evidence(rows.select("doc_id", "text"), labels, most)
+    inside = text_col in (keep or [])  # the text goes through Python once
+    texts = [] if inside else [F.col(text_col).alias("text")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *texts, F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), *carried)
+    model, rate = fit_evidence(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         of = Words(shared.value.buckets)
         for b in batches:
-            found = [shared.value.score(of, t.as_py()) for t in b.column("text")]
+            text = b.column("row").field(text_col) if inside else b.column("text")
+            found = [shared.value.score(of, t.as_py()) for t in text]
             names = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(found, pa.float64())], [*names, "evidence"])
 
     schema = rows.drop("text").limit(0).select("*", F.lit(0.0).alias("evidence")).schema
-    rows = stored(rows.mapInArrow(score, schema))
+    rows = stored(rows.mapInArrow(lean(score), schema))
     base = float(np.log(rate / (1 - rate)))
     p = 1 / (1 + F.exp(-(F.col("evidence") + base)))
     paths = stored(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s")))
