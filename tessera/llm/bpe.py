@@ -1,30 +1,31 @@
 """Byte-level BPE encoding and decoding over the distinct words of the corpus.
 
-Encoding: each block of documents (up to `block_bytes` of text) is split into pre-tokens;
-a block keeps the positions as a sequence of numbers of its own distinct words. The
-(block, number, word) rows are shuffled by word and sorted, so that each distinct word of
-the corpus meets the merges once; its ids go back to the blocks that hold it, where every
-document's ids are put together by position. A word, however frequent, is one row for
-each block, so no key is hot.
-
-Decoding: the ids of each document join the token-byte table, whose size is the
-vocabulary's.
-
-Blocks are formed anew from the same scan for the sequences and for the words; a block's
-key includes its contents, and one whose words don't come back is an error, not a gap.
-The input must therefore be a table (or any plan with a stable row order).
+Encoding: texts are split into pre-tokens once. A block of documents (up to `block_bytes`
+of text) keeps the positions as sequences of numbers of its own distinct words, and lists
+these words by bucket, a hash of the word. Both are one table in the shared folder. The
+lists are shuffled by bucket: whatever equals a word is in the same bucket, so each
+distinct word of the corpus meets the merges once. The ids go back to the blocks, and a
+block's documents are put together by position, some hundred kilobytes of text at a time.
+A word, however frequent, is one entry for each block, so no key is hot; there are as many
+buckets as eight times the shuffle's partitions, and only one is held in memory.
+
+Decoding: the ids are joined to the token-byte table, whose size is the vocabulary's: a
+hash join of each batch of documents with the broadcast table.
 
 Defined results: a null text encodes as the empty one, to no ids; rows with equal ids or
 texts are encoded one by one; empty tables give empty results; other columns are ignored.
+Decoding null ids gives null, and ids that the table doesn't have are an error.
 """
 
 from __future__ import annotations
 
 import base64
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -32,9 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lean, small_batches
+from ._shared import lean, shuffle_partitions, small_batches, stored
 
-ROWS = 50_000
+#: Pre-tokens that are in memory as text at once; text of the documents that are packed together.
+AT_ONCE, CELL_BYTES = 200_000, 128 << 10
+SEQUENCE = -1  # in place of a bucket
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,145 +46,200 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _blocks(batches, pattern: str, block_bytes: int):
-    """(key, ids of documents, sequences, distinct words by number) for each block of documents."""
-    split, part, nth = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-
-    def new():
-        number = defaultdict()
-        number.default_factory = number.__len__
-        return number, [], [], xxhash.xxh3_64()
-
-    number, ids, seqs, digest = new()
-    held = 0
-    for b in batches:
-        for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
-            t = text.as_py() or ""
-            found = split(t)
-            seqs.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-            ids.append(doc_id)
-            digest.update(t.encode())
-            held += len(t)
-            if held >= block_bytes:
-                yield _key(part, nth, digest, len(ids)), ids, *_by_count(seqs, number)
-                number, ids, seqs, digest = new()
-                held, nth = 0, nth + 1
-    if ids:
-        yield _key(part, nth, digest, len(ids)), ids, *_by_count(seqs, number)
-
-
-def _by_count(seqs: list[np.ndarray], number: dict[str, int]) -> tuple[list[np.ndarray], list[str]]:
-    """Sequences and words renumbered, frequent words first: small numbers compress well."""
-    counts = np.bincount(np.concatenate(seqs), minlength=len(number))
-    order = np.argsort(-counts, kind="stable")
-    new = np.empty(len(order), np.uint32)
-    new[order] = np.arange(len(order))
-    words = list(number)
-    number.clear()
-    for i, s in enumerate(seqs):
-        seqs[i] = new[s]
-    return seqs, [words[i] for i in order.tolist()]
-
-
-def _key(part: int, nth: int, digest, rows: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{part}:{nth}:{rows}:{digest.hexdigest()}") - 2**63
-
-
-def _pack(seq: np.ndarray) -> bytes:
-    """Numbers below 255 as one byte; of the others a 255 there, and planes of bytes of their own; compressed."""
-    large = seq[seq >= 255] - 255
-    planes = (large.astype("<u4").view(np.uint8).reshape(-1, 4).T)[:4]
-    data = np.minimum(seq, 255).astype(np.uint8).tobytes() + planes.tobytes()
-    return len(seq).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8)
-    seq = flat[:n].astype(np.uint32)
-    seq[seq == 255] += np.ascontiguousarray(flat[n:].reshape(4, -1).T).view("<u4").ravel()
-    return seq
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other, compressed; numbers by planes of bytes, as most of them are small."""
+    head = np.array([[len(a), a.dtype.itemsize] for a in arrays], "<u4").tobytes()
+    planes = [a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"" for a in arrays]
+    return len(arrays).to_bytes(1, "little") + head + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
-def _sequences(pattern: str, block_bytes: int, kind: pa.DataType):
-    """A row for some hundred documents of a block: their ids, and their sequences one after the other."""
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays, as unsigned numbers of the sizes they had."""
+    n = data[0]
+    head = np.frombuffer(data, "<u4", 2 * n, 1).reshape(n, 2).tolist()
+    flat, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1 + 8 * n :]), np.uint8), 0, []
+    for size, wide in head:
+        part = flat[at : at + size * wide]
+        out.append(np.ascontiguousarray(part.reshape(wide, size).T).view(f"<u{wide}").ravel() if size else np.zeros(0, f"<u{wide}"))
+        at += size * wide
+    return out
 
-    def run(batches):
-        for key, ids, seqs, words in _blocks(batches, pattern, block_bytes):
-            n = len(words)
-            words.clear()
-            for i in range(0, len(ids), 500):
-                part = seqs[i : i + 500]
-                cells = ([key], pa.int64()), ([n], pa.int64()), ([[x.as_py() for x in ids[i : i + 500]]], pa.list_(kind)), ([[len(s) for s in part]], pa.list_(pa.int64())), ([_pack(np.concatenate(part))], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cells], ["block", "words", "doc_ids", "sizes", "seq"])
 
-    return run
+def _pack_numbers(seq: np.ndarray) -> bytes:
+    """Numbers below 255 as one byte; of the others a 255 there, and what is beyond by itself."""
+    return _pack(np.minimum(seq, 255).astype(np.uint8), (seq[seq >= 255] - 255).astype("<u4"))
 
 
-def _words(pattern: str, block_bytes: int):
+def _unpack_numbers(data: bytes) -> np.ndarray:
+    low, large = _unpack(data)
+    seq = low.astype(np.uint32)
+    seq[low == 255] += large
+    return seq
+
+
+class Block:
+    """Documents as sequences of numbers, and their distinct words in the order of the numbers."""
+
+    def __init__(self):
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.ids: list = []
+        self.seqs: list[np.ndarray] = []
+        self.sizes: list[int] = []
+
+    def add(self, doc_id, text: str, split) -> None:
+        parts, found = [], (m.group() for m in split.finditer(text)) if len(text) > AT_ONCE else iter(split.findall(text))
+        while True:
+            parts.append(np.fromiter(map(self.number.__getitem__, islice(found, AT_ONCE)), np.uint32))
+            if len(parts[-1]) < AT_ONCE:
+                break
+        self.seqs.append(np.concatenate(parts) if len(parts) > 1 else parts[0])
+        self.ids.append(doc_id)
+        self.sizes.append(len(text))
+
+    def rows(self, key: int, buckets: int):
+        """(block, bucket, doc_ids, data) of the sequences and of the words of each bucket. Frequent words get small numbers."""
+        counts = np.zeros(len(self.number), np.int64)
+        for s in self.seqs:
+            counts += np.bincount(s, minlength=len(counts))
+        order = np.argsort(-counts, kind="stable")
+        new = np.empty(len(order), np.uint32)
+        new[order] = np.arange(len(order))
+        start, held = 0, 0
+        for i, size in enumerate(self.sizes):
+            held += size
+            if held >= CELL_BYTES or i == len(self.sizes) - 1:
+                part = self.seqs[start : i + 1]
+                sizes = np.array([len(s) for s in part], "<u8")
+                yield key, SEQUENCE, self.ids[start : i + 1], _box(_pack(sizes), _pack_numbers(new[np.concatenate(part)]))
+                start, held = i + 1, 0
+        self.seqs.clear()
+        words = [w.encode() for w in self.number]
+        self.number.clear()
+        bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], np.int64)
+        place = np.lexsort((new, bucket))
+        ends = np.flatnonzero(np.diff(bucket[place], append=-1)) + 1
+        for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            at = place[s:e]
+            own = [words[i] for i in at.tolist()]
+            steps = np.diff(new[at].astype(np.int64), prepend=0).astype("<u4")
+            yield key, int(bucket[at[0]]), None, _pack(steps, np.array([len(w) for w in own], "<u4"), np.frombuffer(b"".join(own), np.uint8))
+
+
+def _box(*cells: bytes) -> bytes:
+    return b"".join(len(c).to_bytes(4, "little") + c for c in cells)
+
+
+def _unbox(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def _split(pattern: str, block_bytes: int, buckets: int, kind: pa.DataType):
+    names = ["block", "bucket", "doc_ids", "data"]
+    types = [pa.int64(), pa.int32(), pa.list_(kind), pa.binary()]
+
     def run(batches):
-        for key, _, seqs, every in _blocks(batches, pattern, block_bytes):
-            seqs.clear()
-            for i in range(0, len(every), ROWS):
-                part = every[i : i + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["block", "number", "word"])
+        split, part, nth = regex.compile(pattern), TaskContext.get().partitionId(), 0
+        block, held = Block(), 0
+
+        def out():
+            rows = block.rows((part << 32) + nth, buckets)
+            while some := list(islice(rows, 100)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                t = text.as_py() or ""
+                block.add(doc_id, t, split)
+                held += len(t)
+                if held >= block_bytes:
+                    yield from out()
+                    block, held, nth = Block(), 0, nth + 1
+        if block.ids:
+            yield from out()
 
     return run
 
 
 def _merge(ranks, pattern: str, dtype: str):
-    """Ids of each word; equal words stand together, and the merges see one of them."""
+    """Ids of the words of each list; lists of a bucket stand together, and the merges see each of its words once."""
 
     def run(batches):
         import tiktoken  # here only: the tasks that split texts need the memory
 
         one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
-        last, ids = None, b""
+        last, known = None, {}
         for b in batches:
-            out = []
-            for w in b.column("word").to_pylist():
-                if w != last:
-                    last, ids = w, np.array(one(w.encode()), dtype).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("number"), pa.array(out, pa.binary())], ["block", "number", "ids"])
+            for block, bucket, data in zip(*[b.column(c) for c in ("block", "bucket", "data")], strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                steps, sizes, text = _unpack(data.as_py())
+                text, ends = text.tobytes(), np.cumsum(sizes).tolist()
+                out = []
+                for s, e in zip([0, *ends[:-1]], ends, strict=True):
+                    w = text[s:e]
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = one(w)
+                    out.append(ids)
+                flat = np.array([i for ids in out for i in ids], dtype)
+                cell = _pack(steps, np.array([len(ids) for ids in out], "<u4"), flat)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([cell], pa.binary())], ["block", "data"])
 
     return run
 
 
-def _together(dtype: str, type_name: pa.DataType):
-    """The ids of a block's documents by position."""
-
-    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
-        wide = np.dtype(dtype).itemsize
-        n = docs.column("words")[0].as_py() if docs.num_rows else 0
-        if docs.num_rows and table.num_rows != n:
-            raise ValueError("the rows of the input came in another order when read again; write it as a table first")
-        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        parts, base = [], 0
-        for number, ids in zip(table.column("number").chunks, table.column("ids").chunks, strict=True):
-            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
-            data = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(dtype)
-            at = number.to_numpy()
-            start[at], size[at] = base + (ends[:-1] - ends[0]) // wide, np.diff(ends) // wide
-            parts.append(data)
-            base += len(data)
-        flat = np.concatenate(parts) if parts else np.zeros(0, dtype)
-        ids, out = [], []
-        for doc_ids, sizes, packed in zip(*[docs.column(c).to_pylist() for c in ("doc_ids", "sizes", "seq")], strict=True):
-            every = _unpack(packed)
-            ids += doc_ids
-            for seq in np.split(every, np.cumsum(sizes)[:-1]):
-                each = size[seq]
-                ends = np.cumsum(each)
-                total = int(ends[-1]) if len(seq) else 0
-                at = np.repeat(start[seq] - ends + each, each) + np.arange(total)
-                out.append(flat[at].astype(np.int32))
-        return pa.table({"doc_id": pa.array(ids, type_name), "ids": pa.array(out, pa.list_(pa.int32()))})
+class Table:
+    """The ids of a block's words, by the words' numbers."""
+
+    def __init__(self, dtype: str):
+        self.parts, self.dtype, self.flat = [], dtype, None
+
+    def add(self, data: bytes) -> None:
+        steps, sizes, ids = _unpack(data)
+        self.parts.append((np.cumsum(steps.astype(np.int64)), sizes.astype(np.int64), ids))
+
+    def look_up(self, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of a sequence one after the other, and where those of each document end."""
+        if self.flat is None:
+            numbers, each, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 3
+            self.parts = []
+            self.start, self.size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+            self.start[numbers], self.size[numbers] = np.cumsum(each) - each, each
+            self.flat = ids.astype(np.int32)
+        each = self.size[seq]
+        ends = np.cumsum(each)
+        at = np.repeat(self.start[seq] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)
+        last = np.cumsum(sizes.astype(np.int64))
+        return self.flat[at], np.append(0, ends)[last]
+
+
+def _together(dtype: str, kind: pa.DataType):
+    """The ids of documents by position. The rows of a block stand together, its words before its sequences."""
+
+    def run(batches):
+        last, table = None, Table(dtype)
+        for b in batches:
+            for block, doc_ids, data in zip(*[b.column(c) for c in ("block", "doc_ids", "data")], strict=True):
+                if block != last:
+                    last, table = block, Table(dtype)
+                if not doc_ids.is_valid:
+                    table.add(data.as_py())
+                    continue
+                sizes, seq = _unbox(data.as_py())
+                ids, ends = table.look_up(_unpack_numbers(seq), _unpack(sizes)[0])
+                lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, ends), pa.int64()), pa.array(ids)).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids.as_py(), kind), lists], ["doc_id", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 32 << 20, id_col="doc_id", text_col="text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 16 << 20, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, ids array<int>) of every document, as the merges of the rank file have it."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
@@ -189,28 +247,37 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 32
     dtype = "<u2" if max(ranks.values()) < 2**16 else "<u4"
     shared = spark.sparkContext.broadcast(ranks)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType
-    arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    seqs = docs.mapInArrow(lean(_sequences(pattern, block_bytes, arrow)), f"block long, words long, doc_ids array<{kind.simpleString()}>, sizes array<long>, seq binary")
-    words = docs.mapInArrow(lean(_words(pattern, block_bytes)), "block long, number int, word string")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_merge(shared, pattern, dtype), "block long, number int, ids binary")
-    joined = seqs.groupBy("block").cogroup(ids.groupBy("block"))
-    return joined.applyInArrow(_together(dtype, arrow), f"doc_id {kind.simpleString()}, ids array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    schema = f"block long, bucket int, doc_ids array<{kind}>, data binary"
+    parts = stored(docs.mapInArrow(lean(_split(pattern, block_bytes, 8 * shuffle_partitions(spark), arrow)), schema))
+    words = parts.where(F.col("bucket") != SEQUENCE).select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
+    ids = words.mapInArrow(lean(_merge(shared, pattern, dtype)), "block long, data binary")
+    turns = ids.select("block", F.lit(0).alias("turn"), F.lit(None).cast(f"array<{kind}>").alias("doc_ids"), "data")
+    turns = turns.unionAll(parts.where(F.col("bucket") == SEQUENCE).select("block", F.lit(1), "doc_ids", "data"))
+    turns = turns.repartition("block").sortWithinPartitions("block", "turn")
+    return turns.mapInArrow(lean(_together(dtype, arrow)), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """encoded with the column `decoded`: the bytes of the ids."""
     spark: SparkSession = encoded.sparkSession
+    small_batches(spark)
     ranks = read_ranks(ranks_path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        table[i] = token
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast((list(ranks.values()), list(ranks)))
 
     def run(batches):
-        of = shared.value.__getitem__
+        tokens, found = pa.array(shared.value[0], pa.int32()), pa.array(shared.value[1], pa.large_binary())
         for b in batches:
-            decoded = [b"".join(map(of, x.values.to_numpy().tolist())) if x.is_valid else None for x in b.column(ids_col)]
+            lists = b.column(ids_col)
+            row = pc.index_in(lists.flatten().cast(pa.int32()), tokens)  # the join: a hash table of the token ids, asked for every position
+            if row.null_count:
+                raise ValueError("there are ids that the token-byte table doesn't have")
+            taken = found.take(row)
+            ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+            flat = memoryview(taken.buffers()[2] or b"")
+            at = ends[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))].tolist()
+            decoded = [bytes(flat[s:e]) if ok else None for s, e, ok in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], [*b.schema.names, "decoded"])
 
     schema = encoded.limit(0).select("*", F.lit(b"").alias("decoded")).schema
