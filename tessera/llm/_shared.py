@@ -22,11 +22,16 @@ def words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one only where it names none (tests)."""
+    """The shared folder that the session names, by its setting or by setCheckpointDir. Only
+    a session in local mode may name none: then it is a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(spark, "_llm_scratch", None) or tempfile.mkdtemp(prefix="llm-scratch-")
-        spark._llm_scratch = found
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = named.get() if named.isDefined() else getattr(spark, "_llm_scratch", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = spark._llm_scratch = tempfile.mkdtemp(prefix="llm-scratch-")
     return found.rstrip("/")
 
 
@@ -35,7 +40,16 @@ def stored(df: DataFrame) -> DataFrame:
     here, a lost executor costs nothing, and later plans know the table's size."""
     path = f"{scratch_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Documents of an Arrow batch, at most: whole texts go through Python, and some are long.
@@ -112,12 +126,28 @@ def only(df: DataFrame, ids: DataFrame, column: str, rows: int | None = None) ->
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, column, "left_semi")
 
 
+def with_sums(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to sums (one row for each value of `keys`, `count` of them in rows), however many rows share a value.
+
+    total: rows at most. Values with more than total / BROADCAST_ROWS rows are fewer than
+    BROADCAST_ROWS whatever the data: they are broadcast, and their rows stay where they
+    are. What is shuffled has at most that many rows for a value.
+    """
+    most = max(1000, -(-total // BROADCAST_ROWS))
+    hot = sums.where(F.col(count) > most)
+    if hot.isEmpty():
+        return rows.join(sums, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(sums.where(F.col(count) <= most), keys, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each id of `edges` (a, b: long) can reach.
 
     Large-star and small-star in turn (Kiveris et al., 2014): every step hangs neighbours
     on smaller ones, and the number of steps grows with the logarithm of a path's length.
-    Each step ends in a table in the shared folder.
+    Each step ends in a table in the shared folder, in place of the one before. A hub's
+    neighbours stay where they are, see `with_sums`.
     """
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -127,8 +157,31 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(now.select(F.col("b"), F.col("b")).distinct())
         seen = state
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(low, large["a"] == low["u"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(small.unionAll(low.select("u", "m")).distinct())
+        low = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("c")))
+        large = stored(with_sums(both, low, ["a"], "c", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low2 = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c")))
+        small = with_sums(large, low2, ["a"], "c", 2 * state[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        then = stored(small.unionAll(low2.select("a", "m")).distinct())
+        discard(now, low, large, low2)
+        now = then
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, order: list[Column], most_chars: int) -> list:
+    """The rows of docs (doc_id, text, ...) with an id in labels (a bounded number of rows), joined to them, on the driver.
+
+    An id with several rows is there once, with the text of the smallest hash. Texts are
+    taken whole, in the order given, as long as they have `most_chars` characters together.
+    """
+    rows = docs.join(F.broadcast(labels), "doc_id")
+    names = [c for c in rows.columns if c != "doc_id"]
+    rows = stored(rows.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.coalesce(F.xxhash64("text"), F.lit(0)), F.to_json(F.struct(*[n for n in names if n != "text"])))).alias("r")).select("doc_id", "r.*"))
+    sizes = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(*order).collect()
+    some, held = [], 0
+    for r in sizes:
+        held += r["n"]
+        if held > most_chars:
+            break
+        some.append(r["doc_id"])
+    if len(some) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in some], rows.select("doc_id").schema)), "doc_id", "left_semi")
+    return rows.orderBy(*order).collect()

@@ -10,7 +10,8 @@ with partial sums in every task, so a host with a third of all rows is a few row
 shuffled.
 
 Defined results: a null or empty text has evidence 0 and rests on its prior; null hosts
-and paths are groups of their own; rows with equal ids are judged one by one; without
+and paths are groups of their own; rows with equal ids are judged one by one; of several
+labels of one id the greatest counts, and of its texts the one with the smallest hash; without
 labels of both kinds all evidence is 0 and every document is kept; empty tables give
 empty results; other columns are ignored.
 """
@@ -25,17 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lean, small_batches, stored
+from ._shared import labelled_sample, lean, small_batches, stored
 
 _split = re.compile(r"[^\x20\x09-\x0D]+").findall
 _shape = [(re.compile(p), r) for p, r in ((r"[a-zß-öø-ÿ]+", "a"), (r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[0-9]+", "0"))]
 _runs = re.compile(r"(.)\1+", re.S)
 CACHE = 100_000
+#: Characters of the labelled sample, at most.
+MOST_CHARS = 64 << 20
 
 
 def word_shape(word: str) -> str:
     """Classes of characters, runs as one: 'The&&&' is 'Aa&'."""
-    word = word[:200]  # the shape of a run-on word is told by its start; the word itself is hashed whole
     for p, r in _shape:
         word = p.sub(r, word)
     return _runs.sub(r"\1", word)
@@ -95,16 +97,16 @@ class Evidence:
         return float((self.weights[0, at >> 32] + self.weights[1, at & 0xFFFFFFFF]).mean() * self.scale)
 
 
-def fit_evidence(docs: DataFrame, labels: DataFrame, most: int = 6000) -> tuple[Evidence, float]:
-    """The model and the base rate, from at most `most` labelled documents in the order of a hash of their ids.
+def fit_evidence(docs: DataFrame, labels: DataFrame, most: int = 6000, most_chars: int = MOST_CHARS) -> tuple[Evidence, float]:
+    """The model and the base rate, from at most `most` labelled documents with `most_chars`
+    characters together, in the order of a hash of their ids.
 
-    docs: doc_id, text; labels: doc_id, quality. Only the sample's ids are broadcast, and
-    only its texts come to the driver.
+    docs: doc_id, text; labels: doc_id, quality. An id with several labels has the greatest
+    one. Only the sample's ids are broadcast, and only its texts come to the driver.
     """
-    ids = labels.where("quality is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "quality")
-    # A repeated id must not enlarge the sample: one of its rows is enough.
-    rows = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    ids = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rows = labelled_sample(docs, ids.orderBy(*order).limit(most), order, most_chars)
     y = np.array([r["quality"] for r in rows], float)
     model = Evidence()
     if len(rows) and 0 < y.mean() < 1:

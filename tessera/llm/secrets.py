@@ -5,10 +5,14 @@ ANDs that every match must fulfil. The index holds, for each trigram that some r
 for, the distinct texts that contain it (in lower case, so that one index serves rules of
 either case). Postings are intersected by adding up bits; the texts that are left are
 verified by the regular expression itself. A rule without mandatory trigrams scans every
-text. Texts are known by a 128-bit key, so copies of a text share their postings.
+text. Texts are known by a 128-bit key: copies of a text are one entry of the index, and
+only one of them, that with the smallest id, is verified.
 
-Where candidates are few, Spark broadcasts them to the documents; else both sides are
-shuffled, and of the documents only those whose own trigrams fulfil some query.
+Where candidates are few, as counted, they are broadcast to the documents; else both sides
+are shuffled, and of the documents only those that stand in some posting. Spans come from the lengths of
+the matches and of what lies between them, summed up by a window over each text's matches:
+linear in their number. Results go back to the copies of a text by `with_sums`, so a text that
+a third of all documents share isn't a hot key.
 
 Defined results: a null text is an empty one, without spans; equal rows get equal rows;
 empty tables give empty results; other columns are ignored. Offsets are code points.
@@ -25,8 +29,9 @@ from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ._shared import stored
+from ._shared import BROADCAST_ROWS, stored, with_sums
 
 
 @dataclass(frozen=True)
@@ -123,83 +128,91 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def marked(docs: DataFrame, trigrams: list[str], scanned: list[Rule], id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, k1, k2, grams, hits): for every document the asked trigrams that its text
+    contains, and the kinds without mandatory trigrams that it matches. One pass over the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *_key(text)).withColumn("low", F.lower("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *_key(text)).withColumn("low", F.lower("text"))
+    some = lambda cases, kind: F.array_compact(F.array(*cases).cast(f"array<{kind}>"))
+    grams = some([F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams], "string")
+    hits = some([F.when(F.col("text").rlike(r.gate or r.pattern), F.lit(r.kind)) for r in scanned], "string")
+    return rows.select("doc_id", "k1", "k2", grams.alias("grams"), hits.alias("hits"))
 
 
-def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, k1, k2): the inverted lists of the trigrams asked for."""
-    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return texts.select("k1", "k2", F.explode(found).alias("trigram"))
+def postings(entries: DataFrame) -> DataFrame:
+    """(trigram, k1, k2): the inverted lists of the trigrams asked for. entries: one row for each text."""
+    return entries.select("k1", "k2", F.explode("grams").alias("trigram"))
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(k1, k2, kinds): the texts that fulfil the query of each kind. Every AND is a row of bits, one for each of its trigrams."""
+    """(k1, k2, kind): the texts that fulfil the query of each kind. Every AND is a row of bits, one for each of its trigrams."""
     spark = index.sparkSession
     rows = [(kind, n, t, 1 << i, (1 << len(way)) - 1) for kind, ways in queries.items() for n, way in enumerate(ways) for i, t in enumerate(sorted(way)[:62])]
     rows = [(k, n, t, b, min(full, (1 << 62) - 1)) for k, n, t, b, full in rows]
     asked = spark.createDataFrame(rows, "kind string, way int, trigram string, bit long, full long")
     met = index.join(F.broadcast(asked), "trigram").groupBy("k1", "k2", "kind", "way").agg(F.bit_or("bit").alias("bits"), F.first("full").alias("full"))
-    return met.where("bits = full").groupBy("k1", "k2").agg(F.collect_set("kind").alias("kinds"))
+    return met.where("bits = full").select("k1", "k2", "kind")
 
 
-def matches(text: Column, rule: Rule) -> Column:
-    """Array of (start, end) of the rule's matches: lengths of the matches and of what stands between them, summed up."""
+STEP = "array<struct<n:int,g:int,m:int,keep:boolean>>"
+
+
+def steps(text: Column, n: int, rule: Rule) -> Column:
+    """The rule's matches in order: lengths of what lies before each and of the match, and whether it is kept."""
     p = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
     kept = F.regexp_extract_all(text, p, F.lit(rule.group)) if rule.group else found
     gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
-    steps = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), kept, lambda s, k: F.struct(s.g.alias("g"), s.m.alias("m"), (F.length(k) >= rule.least).alias("keep")))
-    kind = "array<struct<s:int,e:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc, x):
-        span = F.array(F.struct((acc.at + x.g).alias("s"), (acc.at + x.g + x.m).alias("e")))
-        out = F.when(x.keep, F.concat(acc.out, span)).otherwise(acc.out).cast(kind)
-        return F.struct((acc.at + x.g + x.m).alias("at"), out.alias("out"))
+    both = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    out = F.zip_with(both, kept, lambda s, k: F.struct(F.lit(n).alias("n"), s.g.alias("g"), s.m.alias("m"), (F.length(k) >= rule.least).alias("keep")))
+    return F.when(text.rlike(rule.gate or rule.pattern), out.cast(STEP)).otherwise(F.array().cast(STEP))
 
-    return F.when(text.rlike(rule.gate or rule.pattern), F.aggregate(steps, start, step, lambda acc: acc.out)).otherwise(F.array().cast(kind))
 
+SPAN = "array<struct<s:int,n:int,e:int,kind:string>>"
 
-def _tagged(n: int, kind: str):
-    return lambda x: F.struct(x.s.alias("s"), F.lit(n).alias("n"), x.e.alias("e"), F.lit(kind).alias("kind"))
 
-
-def _spans(text: Column, rules: list[tuple[int, Rule]], wanted: Column | None) -> Column:
-    """(start, order of the rule, end, kind) of all matches of the rules."""
-    out = []
-    for i, r in rules:
-        m = matches(text, r)
-        if wanted is not None:
-            m = F.when(F.array_contains(wanted, r.kind), m).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
-        out.append(F.transform(m, _tagged(i, r.kind)))
-    return F.concat(*out)
+def spans(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(k1, k2, c, spans): all matches in order of start and rule, for texts that have any. texts: k1, k2, c, text, kinds."""
+    none = F.array().cast(STEP)
+    every = F.concat(*[F.when(F.array_contains("kinds", r.kind), steps(F.col("text"), i, r)).otherwise(none) for i, r in enumerate(rules)])
+    # Rows that agree in id and text all come here; the matches of one of them are enough.
+    rows = texts.select("k1", "k2", "c", every.alias("x")).where(F.size("x") > 0).groupBy("k1", "k2", "c").agg(F.first("x").alias("x"))
+    rows = rows.select("k1", "k2", "c", F.posexplode("x").alias("pos", "x")).select("k1", "k2", "c", "pos", "x.*")
+    end = F.sum(F.col("g") + F.col("m")).over(W.partitionBy("k1", "k2", "n").orderBy("pos")).cast("int")
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("n") + 1)
+    rows = rows.withColumn("e", end).where("keep").select("k1", "k2", "c", F.struct((F.col("e") - F.col("m")).alias("s"), "n", "e", kind.alias("kind")).alias("x"))
+    return rows.groupBy("k1", "k2", "c").agg(F.sort_array(F.collect_list("x")).cast(SPAN).alias("spans"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: doc_id and `spans`, an array of (s, n, e, kind) in order of start and rule."""
-    none = "array<struct<s:int,n:int,e:int,kind:string>>"
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    indexed = [(i, r) for i, r in enumerate(rules) if all(queries[r.kind])]
-    scanned = [(i, r) for i, r in enumerate(rules) if not all(queries[r.kind])]
-    texts = _texts(docs, id_col, text_col)
-    own = _spans(F.col("text"), scanned, None) if scanned else F.array()
-    rows = texts.select("doc_id", "k1", "k2", own.cast(none).alias("own"))
-    if indexed:
-        asked = {r.kind: queries[r.kind] for _, r in indexed}
-        trigrams = sorted({t for ways in asked.values() for w in ways for t in w})
-        index = stored(postings(texts, trigrams))
-        found = stored(candidates(index, asked))
-        here = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains("low", F.lit(t)) for t in sorted(w)]) for ways in asked.values() for w in ways])
-        # A group of copies is joined to one row; what is verified twice falls together again.
-        verified = texts.where(here).select("k1", "k2", "text").join(found, ["k1", "k2"])
-        verified = verified.select("k1", "k2", _spans(F.col("text"), indexed, F.col("kinds")).cast(none).alias("more"))
-        verified = verified.where(F.size("more") > 0).groupBy("k1", "k2").agg(F.first("more").alias("more"))
-        rows = rows.join(verified, ["k1", "k2"], "left")
+    asked = {kind: ways for kind, ways in queries.items() if all(ways)}
+    scanned = [r for r in rules if r.kind not in asked]
+    trigrams = sorted({t for ways in asked.values() for w in ways for t in w})
+    rows = stored(marked(docs, trigrams, scanned, id_col, text_col))
+    some = rows.where((F.size("grams") > 0) | (F.size("hits") > 0))
+    entries = stored(some.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("one"), F.first("grams").alias("grams"), F.first("hits").alias("hits")))
+    fit = entries.select("k1", "k2", F.explode("hits").alias("kind"))
+    if asked:
+        fit = fit.unionAll(candidates(postings(entries), asked))
+    fit = fit.groupBy("k1", "k2").agg(F.collect_set("kind").alias("kinds"))
+    found = stored(entries.select("k1", "k2", "c", "one").join(fit, ["k1", "k2"]))
+    few = found.count() <= BROADCAST_ROWS // 8  # kinds and counts besides the keys
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *_key(text))
+    if not few:
+        texts = texts.where(reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(t)) for t in trigrams] + [F.col("text").rlike(r.gate or r.pattern) for r in scanned], F.lit(False)))
+    asked_for = found.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "c", "one", "kinds")
+    same = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & F.col("doc_id").eqNullSafe(F.col("one"))
+    verified = stored(spans(texts.join(F.broadcast(asked_for) if few else asked_for, same), rules))
+    rows = rows.select("doc_id", "k1", "k2")
+    size = verified.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0]
+    if size <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(verified), ["k1", "k2"], "left")
     else:
-        rows = rows.withColumn("more", F.array().cast(none))
-    return rows.select("doc_id", F.sort_array(F.concat("own", F.coalesce("more", F.array().cast(none)))).alias("spans"))
+        rows = with_sums(rows, verified, ["k1", "k2"], "c", rows.count(), "left")
+    return rows.select("doc_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
 import xxhash
@@ -94,6 +95,32 @@ def test_secrets(docs, odd):
     assert sum(r["s"] != "" for r in got) > 20
 
 
+@pytest.mark.parametrize("rows_at_most", [0, 1])
+def test_secrets_by_shuffles(docs, odd, monkeypatch, rows_at_most):
+    """Nothing is broadcast by its count: the same results."""
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", rows_at_most)
+    rows = [(i, TEXTS[0]) for i in range(40)] + [(i, t) for i, t in enumerate(TEXTS, 100)] + [(r[0], r[1]) for r in odd]
+    got = secrets.scan(docs(rows)).select("doc_id", secrets.listed(secrets.F.col("spans")).alias("s")).collect()
+    assert sorted((str(r["doc_id"]), r["s"]) for r in got) == sorted((str(i), brute_spans(t)) for i, t in rows)
+
+
+def test_the_index_decides(docs, monkeypatch):
+    """Without candidates there are no results: nothing else finds a text."""
+    empty = lambda index, queries: index.select("k1", "k2", secrets.F.lit("assign").alias("kind")).where("false")
+    monkeypatch.setattr(secrets, "candidates", empty)
+    got = secrets.scan(docs([(1, TEXTS[0]), (2, "0123456789abcdef" * 2)])).collect()
+    assert {r["doc_id"]: len(r["spans"]) for r in got} == {1: 0, 2: 1}
+
+
+def test_many_matches_in_one_text(docs):
+    """Linear in the number of matches."""
+    text = "token=abcdefgh " * 100_000
+    start = time.time()
+    (row,) = secrets.scan(docs([(1, text)])).collect()
+    assert [tuple(row["spans"][i])[:3] for i in (0, 99_999)] == [(0, 0, 14), (15 * 99_999, 0, 15 * 99_999 + 14)]
+    assert len(row["spans"]) == 100_000 and time.time() - start < 60
+
+
 @pytest.mark.parametrize(
     ("pattern", "query"),
     [("abcd", [{"abc", "bcd"}]), ("[0-9a-f]+", [set()]), ("abc|def", [{"abc"}, {"def"}]), ("ab?cd", [{"abc", "bcd"}, {"acd"}]), ("abc.*xyz", [{"abc", "xyz"}]),
