@@ -6,8 +6,8 @@ the first occurrence (in order of document id, text hash and place) stays; the l
 any later occurrence covers go. Whatever goes is still there at an earlier place: each
 line of a later occurrence has its twin in the first one, at a smaller id or place.
 
-Occurrences are summed up to one row for each window before anything is joined, and a
-window that a third of all documents share is joined as many rows to one.
+Occurrences are summed up to one row for each window before anything is joined; a window
+that a third of all documents share is joined where its occurrences are, see `with_sums`.
 
 Defined results: a null text stays null, with no lines; a document of fewer than three
 lines stays as it is; a document that repeats its own lines loses the later ones; rows
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, WORD, stored
+from ._shared import BROADCAST_ROWS, WORD, stored, with_sums
 
 WINDOW = 3
 
@@ -39,8 +39,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     at = F.struct("doc_id", "text_hash", "place")
     rows = rows.select(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"), at.alias("at"))
     firsts = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1")
-    firsts = stored(firsts.select("h1", "h2", "first"))
-    later = rows.join(firsts, ["h1", "h2"]).where(~F.col("at").eqNullSafe(F.col("first")))
+    firsts = stored(firsts)
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    later = with_sums(rows, firsts, ["h1", "h2"], "n", total).where(~F.col("at").eqNullSafe(F.col("first")))
     return later.groupBy("at.doc_id", "at.text_hash").agg(F.sort_array(F.collect_set("at.place")).alias("places"))
 
 
