@@ -11,14 +11,21 @@ is 2e-8, and for sets that the sketch holds whole, two in a row are always share
 1. Each list links its members to its smallest one (a star, linear in the list). Pairs
    whose union sketch estimates too small a similarity go; the others are verified on the
    full sets, made again from the texts. What is linked falls into components.
-2. Lists that still hold several components: a short list gives its pairs across
+2. Lists that still hold several components: a short list gives all its pairs across
    components, filtered and verified likewise.
-3. Long lists (common passages, very large groups) are gathered into groups of classes
-   that share them; a group is sorted by set size and dealt into blocks, and the blocks
-   are compared two by two on full sets, each in a task of bounded size. Only links that
-   join components come out. No list is cut, and no partner is dropped.
-
-Only components are wanted, so pairs inside one needn't be looked at.
+3. Long lists (common passages, very large groups) would give too many pairs. Their members
+   are listed once more, by each retained value; of these lists the short ones give all
+   their pairs across components. At 0.75, six in seven values of the smaller set and three
+   in four of the larger one are shared; a member that has EASY of its FIRST smallest values
+   in short lists shares none of them with a chance below 1e-7.
+4. Members that have less (whatever is rare in them is little) are compared with each
+   other in full: a group that shares long lists is sorted by set size and dealt into
+   blocks, and the blocks are compared two by two on full sets, each pair of blocks in a
+   task of bounded size. Only links that join components come out.
+
+No list is cut, and no partner is dropped. Only components are wanted, so pairs inside one
+needn't be looked at. A list, class or component that a third of all documents share is no
+hot key: see `with_sums`.
 
 Defined results: texts with less words than a shingle are one shingle; a text without
 words, or null, is linked with nothing; rows with one id are one document, linked as
@@ -36,11 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, lean, only, ranked, small_batches, stored
+from ._shared import components, lean, only, ranked, small_batches, stored, with_sums
 
 K = 32
 #: Members of a list up to which its pairs are listed; and members of a block.
 SHORT, BLOCK = 64, 768
+#: A class with so many of its smallest values in short lists is found through them.
+EASY, FIRST = 12, 24
 #: Of K union values, so many must be shared: at 0.75 fewer are with a chance of 1e-7.
 LEAST_SHARED = 11
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -239,48 +248,73 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(docs.mapInArrow(lean(_sketches(shingle)), "doc_id long, n long, d1 long, d2 long, sketch array<long>"))
     full = rows.where("n > 0 and doc_id is not null")
-    reps = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = stored(full.select("doc_id", "n", "d1", "d2", "sketch").join(reps, ["d1", "d2"]))
+    reps = stored(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")))
+    total = _sum(reps, "c")
+    members = stored(with_sums(full.select("doc_id", "n", "d1", "d2", "sketch"), reps, ["d1", "d2"], "c", total).select("doc_id", "n", "sketch", "rep"))
     classes = stored(members.where("doc_id = rep").select("rep", "n", "sketch").distinct())
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
 
     steps = F.zip_with(F.slice("sketch", F.lit(1), F.size("sketch") - 1), F.slice("sketch", F.lit(2), F.size("sketch")), lambda a, b: F.xxhash64(a, b))
-    keys = classes.where("n > 1").select("rep", "n", F.explode(steps).alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first")).where("c > 1")
-    lists = stored(keys.join(shared, "key"))
-
+    lists, listed = _lists(classes.where("n > 1").select("rep", "n", F.explode(steps).alias("key")))
     star = lists.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     # An id with several texts stands in several classes and links them.
     spread = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi")
     same_id = members.select("doc_id", F.col("rep").alias("b")).join(spread, "doc_id").where("a != b").select("a", "b").distinct()
     edges = _verified(_promising(star, classes, percent), texts, shingle, percent)
 
-    open_lists = _labelled(lists, edges)
-    mixed = open_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_lists = stored(open_lists.join(mixed, "key"))
-
-    short = open_lists.where(F.col("c") <= SHORT)
-    left = short.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "first")
-    right = short.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
-    # Similar sets share far more than three lists; long lists are looked at below if two of those are long.
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.max(F.col("a") == F.col("first")).alias("seen"), F.max(F.least("n_a", "n_b")).alias("n"))
-    pairs = pairs.where(~F.col("seen") & ((F.col("lists") >= 2) | (F.col("n") <= K))).select("a", "b")
-    more = _verified(_promising(pairs, classes, percent), texts, shingle, percent)
-
-    long_ = open_lists.where(F.col("c") > SHORT)
-    often = long_.groupBy("rep").agg(F.count(F.lit(1)).alias("lists"), F.max("n").alias("n")).where((F.col("lists") >= 2) | (F.col("n") <= K)).select("rep")
-    long_ = stored(long_.join(often, "rep"))
-    edges = stored(edges.unionAll(more).unionAll(_across(long_, texts, shingle, percent)).unionAll(same_id))
+    open_lists = _open(lists, edges, listed)
+    more = _verified(_promising(_pairs(open_lists, percent), classes, percent), texts, shingle, percent)
+    edges = stored(edges.unionAll(more).unionAll(same_id))
+
+    long_ = _open(open_lists.where(F.col("c") > SHORT).drop("comp"), edges, listed)
+    if not long_.isEmpty():
+        asked = long_.groupBy("rep").agg(F.max("n").alias("n"), F.min("comp").alias("comp"))
+        asked = stored(asked.join(classes.select("rep", "n", "sketch"), ["rep", "n"]))
+        values, listed = _lists(asked.select("rep", "n", "comp", F.posexplode("sketch").alias("place", "key")))
+        more = _verified(_promising(_pairs(values, percent), classes, percent), texts, shingle, percent)
+        edges = stored(edges.unionAll(more))
+        common = values.where((F.col("place") < FIRST) & (F.col("c") > SHORT)).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("common"))
+        hard = common.where(F.least(F.col("n"), F.lit(FIRST)) - F.col("common") < EASY).select("rep").distinct()
+        long_ = stored(long_.join(hard, "rep", "left_semi"))
+        edges = stored(edges.unionAll(_across(_open(long_.drop("comp"), edges, listed), texts, shingle, percent)))
 
     # A class goes by its smallest id, and a component by its smallest class.
-    of = _labelled(members.select("doc_id", "rep").distinct(), edges)
+    found = stored(components(edges))
+    of = stored(reps.groupBy("rep").agg(F.sum("c").alias("c")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "c", F.coalesce("label", "rep").alias("comp")))
+    of = with_sums(members.select("doc_id", "rep"), of, ["rep"], "c", total)
     of = of.groupBy("doc_id").agg(F.min("comp").alias("component_id")).withColumnRenamed("doc_id", "id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(of, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def _sum(df: DataFrame, column: str) -> int:
+    return df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
+
+
+def _lists(keys: DataFrame) -> tuple[DataFrame, int]:
+    """keys (rep, key, ...) that several have, with c, the length of the list, and first, its smallest rep; and how many rows these are."""
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first")).where("c > 1"))
+    total = _sum(shared, "c")
+    return stored(with_sums(keys, shared, ["key"], "c", total)), total
+
+
+def _open(lists: DataFrame, edges: DataFrame, total: int) -> DataFrame:
+    """The lists that hold several components, with comp: the component of each member."""
+    labelled = _labelled(lists, edges)
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("many")).where("lo < hi").select("key", "many")
+    return stored(with_sums(labelled, stored(mixed), ["key"], "many", total).drop("many"))
+
+
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs across components of short lists, but those that a list's star has had."""
+    short = lists.where(F.col("c") <= SHORT)
+    left = short.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "first")
+    right = short.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
+    return pairs.select("a", "b").distinct()
+
+
 def _across(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links across components among the classes of long lists. lists: key, rep, n, first, comp."""
     spark = lists.sparkSession
