@@ -40,43 +40,51 @@ def check_search(got, want):
     assert all(abs(g[3] - w[3]) <= 3 for g, w in zip(got, want, strict=True))
 
 
-@pytest.mark.parametrize(("shard", "block", "k"), [(8192, 64, 5), (37, 4, 10), (16, 2, 1)])
-def test_search(docs, prose, monkeypatch, shard, block, k):
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+@pytest.mark.parametrize(("shard", "terms", "k"), [(8192, 2_000_000, 5), (37, 400, 10), (16, 100, 1)])
+def test_search(docs, prose, shard, terms, k):
+    """Several shards in one task, and several blocks of queries."""
     df = docs(prose)
     asked = [r for r in prose if r[0] % 20 == 0] + [(999, "unknown words only"), (998, None)]
-    # Sizes are read where shards are built, which is another process: they go in by partial shards.
-    monkeypatch.setattr(search, "BLOCK_DOCS", block)
-    monkeypatch.setattr(search, "SHARD_DOCS", shard)
-    check_search(search.top_k(df, docs(asked), k=k).collect(), brute_search(prose, asked, k))
+    check_search(search.top_k(df, docs(asked), k=k, shard_docs=shard, query_terms=terms).collect(), brute_search(prose, asked, k))
+    index = search.build_index(df.select("doc_id", "text"), shard)
+    assert index.count() >= len(prose) // shard and index.select("shard").distinct().count() == index.count()
 
 
-def test_shard_is_exact(prose):
-    """The pruned way against all scores, within one shard, for several block sizes."""
+@pytest.mark.parametrize(("block", "share", "cells"), [(1, 1 / 16, 8 << 20), (4, 0, 8 << 20), (64, 0.01, 2000), (4, 1, 8 << 20)])
+def test_shard_is_exact(prose, monkeypatch, block, share, cells):
+    """The pruned way against all scores, within one shard: with all terms frequent or rare, and with thresholds from elsewhere."""
     import numpy as np
     import pyarrow as pa
 
+    monkeypatch.setattr(search, "CELLS", cells)
     batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in prose], "text": [t for _, t in prose]})
-    old = search.BLOCK_DOCS
-    try:
-        for size in (1, 4, 64):
-            search.BLOCK_DOCS = size
-            (row,) = search._shards([batch])
-            shard = search.Shard([row.column(p)[0].as_py() for p in search.PARTS], float(row.column("words")[0].as_py()) / len(prose))
-            rng = np.random.default_rng(size)
-            for _ in range(30):
-                numbers = np.sort(rng.choice(len(shard.terms), rng.integers(1, 40), replace=False))
-                weights = rng.random(len(numbers)) * 5
-                full = np.zeros(shard.n)
-                for t, w in zip(numbers, weights, strict=True):
-                    at = slice(shard.starts[t], shard.starts[t] + shard.counts[t])
-                    full[shard.docs[at]] += np.rint(w * shard.value[at] * search.SCALE)
-                order = np.lexsort((shard.ids, -full))[:7]
-                order = order[full[order] > 0]
-                ids, scores = shard.best(numbers, weights, 7)
-                assert ids.tolist() == shard.ids[order].tolist() and scores.tolist() == full[order].tolist()
-    finally:
-        search.BLOCK_DOCS = old
+    (row,) = search._shard_rows([batch], 8192, 1 << 30)
+    shard = search.Shard([row.column(p)[0].as_py() for p in search.PARTS], float(row.column("words")[0].as_py()) / len(prose), block, share)
+    lengths = search._unpack(row.column("lengths")[0].as_py(), np.int32)
+    tfs = search._unpack(row.column("tfs")[0].as_py(), np.uint32).astype(float)
+    norm = 1.2 * (0.25 + 0.75 * lengths / (lengths.sum() / len(lengths)))
+    rng = np.random.default_rng(block)
+    for i in range(60):
+        numbers = np.sort(rng.choice(len(shard.terms), rng.integers(1, 40), replace=False))
+        weights = rng.random(len(numbers)) * 5
+        full = np.zeros(shard.n)
+        for t, w in zip(numbers, weights, strict=True):
+            at = slice(shard.starts[t], shard.starts[t] + shard.counts[t])
+            full[shard.docs[at]] += np.rint(w * (tfs[at] * 2.2 / (tfs[at] + norm[shard.docs[at]])) * search.SCALE)
+        least = 0.0 if i % 3 else float(np.quantile(full, 0.9))
+        order = np.lexsort((shard.ids, -full))[:7]
+        order = order[(full[order] > 0) & (full[order] >= least)]
+        ids, scores = shard.best(numbers, weights, 7, least)
+        assert ids.tolist() == shard.ids[order].tolist() and scores.tolist() == full[order].tolist()
+    assert len(shard.row[shard.row >= 0]) <= cells / shard.n
+
+
+def test_every_row_is_asked(docs):
+    """Rows with one id are separate queries, whatever their order."""
+    rows, asked = [(1, "a b"), (2, "c d"), (3, "a d")], [(50, "a b"), (50, "c"), (50, "a b")]
+    for some in (asked, asked[::-1]):
+        got = search.top_k(docs(rows), docs(some, 1), k=2).collect()
+        assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == [(50, 1, 1), (50, 1, 1), (50, 1, 2), (50, 2, 3), (50, 2, 3)]
 
 
 def test_search_odd(docs, odd):
