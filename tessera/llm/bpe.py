@@ -2,12 +2,15 @@
 
 Encoding: texts are split into pre-tokens once. A block of documents (up to `block_bytes`
 of text) keeps the positions as sequences of numbers of its own distinct words, and lists
-these words by bucket, a hash of the word. Both are one table in the shared folder. The
-lists are shuffled by bucket: whatever equals a word is in the same bucket, so each
-distinct word of the corpus meets the merges once. The ids go back to the blocks, and a
-block's documents are put together by position, some hundred kilobytes of text at a time.
-A word, however frequent, is one entry for each block, so no key is hot; there are as many
-buckets as eight times the shuffle's partitions, and only one is held in memory.
+these words by bucket, a hash of the word. The lists are shuffled by bucket: whatever
+equals a word is in the same bucket, so each distinct word of the corpus meets the merges
+once. The ids go back to the blocks, and a block's documents are put together by position,
+some hundred kilobytes of text at a time. A word, however frequent, is one entry for each
+block, so no key is hot; there are eight times as many buckets as the shuffle has
+partitions, and only one is held in memory.
+
+A block's key holds a hash of its texts, and its sequences know how many words it has: if a
+lost task is run again and its input comes in another order, the result is an error, not a gap.
 
 Decoding: the ids are joined to the token-byte table, whose size is the vocabulary's: a
 hash join of each batch of documents with the broadcast table.
@@ -33,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lean, shuffle_partitions, small_batches, stored
+from ._shared import lean, shuffle_partitions, small_batches
 
 #: Pre-tokens that are in memory as text at once; text of the documents that are packed together.
 AT_ONCE, CELL_BYTES = 200_000, 128 << 10
-SEQUENCE = -1  # in place of a bucket
+WORDS, SEQUENCE = 0, 1  # kinds of rows, in the order in which a block needs them
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,7 +53,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays one after the other, compressed; numbers by planes of bytes, as most of them are small."""
     head = np.array([[len(a), a.dtype.itemsize] for a in arrays], "<u4").tobytes()
     planes = [a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"" for a in arrays]
-    return len(arrays).to_bytes(1, "little") + head + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+    return len(arrays).to_bytes(1, "little") + head + zstandard.ZstdCompressor(level=6).compress(b"".join(planes))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -86,8 +89,10 @@ class Block:
         self.ids: list = []
         self.seqs: list[np.ndarray] = []
         self.sizes: list[int] = []
+        self.digest = xxhash.xxh3_64()
 
     def add(self, doc_id, text: str, split) -> None:
+        self.digest.update(text.encode())
         parts, found = [], (m.group() for m in split.finditer(text)) if len(text) > AT_ONCE else iter(split.findall(text))
         while True:
             parts.append(np.fromiter(map(self.number.__getitem__, islice(found, AT_ONCE)), np.uint32))
@@ -97,8 +102,9 @@ class Block:
         self.ids.append(doc_id)
         self.sizes.append(len(text))
 
-    def rows(self, key: int, buckets: int):
-        """(block, bucket, doc_ids, data) of the sequences and of the words of each bucket. Frequent words get small numbers."""
+    def rows(self, place: str, buckets: int):
+        """(dest, block, kind, doc_ids, data) of the sequences and of the words of each bucket. Frequent words get small numbers."""
+        key = xxhash.xxh3_64_intdigest(f"{place}:{self.digest.hexdigest()}") - 2**63
         counts = np.zeros(len(self.number), np.int64)
         for s in self.seqs:
             counts += np.bincount(s, minlength=len(counts))
@@ -111,7 +117,8 @@ class Block:
             if held >= CELL_BYTES or i == len(self.sizes) - 1:
                 part = self.seqs[start : i + 1]
                 sizes = np.array([len(s) for s in part], "<u8")
-                yield key, SEQUENCE, self.ids[start : i + 1], _box(_pack(sizes), _pack_numbers(new[np.concatenate(part)]))
+                data = _box(_pack(sizes), _pack_numbers(new[np.concatenate(part)]), len(order).to_bytes(8, "little"))
+                yield buckets + (key + i) % (1 << 40), key, SEQUENCE, self.ids[start : i + 1], data
                 start, held = i + 1, 0
         self.seqs.clear()
         words = [w.encode() for w in self.number]
@@ -123,7 +130,10 @@ class Block:
             at = place[s:e]
             own = [words[i] for i in at.tolist()]
             steps = np.diff(new[at].astype(np.int64), prepend=0).astype("<u4")
-            yield key, int(bucket[at[0]]), None, _pack(steps, np.array([len(w) for w in own], "<u4"), np.frombuffer(b"".join(own), np.uint8))
+            yield int(bucket[at[0]]), key, WORDS, None, _pack(steps, np.array([len(w) for w in own], "<u4"), np.frombuffer(b"".join(own), np.uint8))
+
+
+NAMES = ["block", "kind", "doc_ids", "data"]
 
 
 def _box(*cells: bytes) -> bytes:
@@ -140,17 +150,16 @@ def _unbox(data: bytes) -> list[bytes]:
 
 
 def _split(pattern: str, block_bytes: int, buckets: int, kind: pa.DataType):
-    names = ["block", "bucket", "doc_ids", "data"]
-    types = [pa.int64(), pa.int32(), pa.list_(kind), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(kind), pa.binary()]
 
     def run(batches):
         split, part, nth = regex.compile(pattern), TaskContext.get().partitionId(), 0
         block, held = Block(), 0
 
         def out():
-            rows = block.rows((part << 32) + nth, buckets)
+            rows = block.rows(f"{part}:{nth}", buckets)
             while some := list(islice(rows, 100)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], ["dest", *NAMES])
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -175,7 +184,11 @@ def _merge(ranks, pattern: str, dtype: str):
         one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
         last, known = None, {}
         for b in batches:
-            for block, bucket, data in zip(*[b.column(c) for c in ("block", "bucket", "data")], strict=True):
+            kinds, cells = b.column("kind").to_pylist(), []
+            for bucket, kind, data in zip(b.column("dest").to_pylist(), kinds, b.column("data"), strict=True):
+                if kind == SEQUENCE:  # on its way to the others
+                    cells.append(data.as_py())
+                    continue
                 if bucket != last:
                     last, known = bucket, {}
                 steps, sizes, text = _unpack(data.as_py())
@@ -188,8 +201,8 @@ def _merge(ranks, pattern: str, dtype: str):
                         ids = known[w] = one(w)
                     out.append(ids)
                 flat = np.array([i for ids in out for i in ids], dtype)
-                cell = _pack(steps, np.array([len(ids) for ids in out], "<u4"), flat)
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([cell], pa.binary())], ["block", "data"])
+                cells.append(_pack(steps, np.array([len(ids) for ids in out], "<u4"), flat))
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in NAMES[:3]], pa.array(cells, pa.binary())], NAMES)
 
     return run
 
@@ -198,10 +211,11 @@ class Table:
     """The ids of a block's words, by the words' numbers."""
 
     def __init__(self, dtype: str):
-        self.parts, self.dtype, self.flat = [], dtype, None
+        self.parts, self.dtype, self.flat, self.words = [], dtype, None, 0
 
     def add(self, data: bytes) -> None:
         steps, sizes, ids = _unpack(data)
+        self.words += len(steps)
         self.parts.append((np.cumsum(steps.astype(np.int64)), sizes.astype(np.int64), ids))
 
     def look_up(self, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,13 +239,15 @@ def _together(dtype: str, kind: pa.DataType):
     def run(batches):
         last, table = None, Table(dtype)
         for b in batches:
-            for block, doc_ids, data in zip(*[b.column(c) for c in ("block", "doc_ids", "data")], strict=True):
+            for block, kind_, doc_ids, data in zip(b.column("block").to_pylist(), b.column("kind").to_pylist(), b.column("doc_ids"), b.column("data"), strict=True):
                 if block != last:
                     last, table = block, Table(dtype)
-                if not doc_ids.is_valid:
+                if kind_ == WORDS:
                     table.add(data.as_py())
                     continue
-                sizes, seq = _unbox(data.as_py())
+                sizes, seq, n = _unbox(data.as_py())
+                if table.words != int.from_bytes(n, "little"):
+                    raise ValueError("the rows of the input came in another order when read again; write it as a table first")
                 ids, ends = table.look_up(_unpack_numbers(seq), _unpack(sizes)[0])
                 lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, ends), pa.int64()), pa.array(ids)).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids.as_py(), kind), lists], ["doc_id", "ids"])
@@ -239,7 +255,7 @@ def _together(dtype: str, kind: pa.DataType):
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 16 << 20, id_col="doc_id", text_col="text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 32 << 20, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, ids array<int>) of every document, as the merges of the rank file have it."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
@@ -249,13 +265,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 16
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    schema = f"block long, bucket int, doc_ids array<{kind}>, data binary"
-    parts = stored(docs.mapInArrow(lean(_split(pattern, block_bytes, 8 * shuffle_partitions(spark), arrow)), schema))
-    words = parts.where(F.col("bucket") != SEQUENCE).select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
-    ids = words.mapInArrow(lean(_merge(shared, pattern, dtype)), "block long, data binary")
-    turns = ids.select("block", F.lit(0).alias("turn"), F.lit(None).cast(f"array<{kind}>").alias("doc_ids"), "data")
-    turns = turns.unionAll(parts.where(F.col("bucket") == SEQUENCE).select("block", F.lit(1), "doc_ids", "data"))
-    turns = turns.repartition("block").sortWithinPartitions("block", "turn")
+    row = f"block long, kind int, doc_ids array<{kind}>, data binary"
+    parts = docs.mapInArrow(lean(_split(pattern, block_bytes, 8 * shuffle_partitions(spark), arrow)), f"dest long, {row}")
+    ids = parts.repartition("dest").sortWithinPartitions("dest").mapInArrow(lean(_merge(shared, pattern, dtype)), row)
+    turns = ids.repartition("block").sortWithinPartitions("block", "kind")
     return turns.mapInArrow(lean(_together(dtype, arrow)), f"doc_id {kind}, ids array<int>")
 
 
