@@ -141,18 +141,40 @@ def with_sums(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, tot
     return rest.unionByName(rows.join(F.broadcast(hot), keys))
 
 
+def _joined(batches):
+    """(id, label) from all edges: the smallest id of each component is its root."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    ids = list(root)
+    for i in range(0, len(ids), 10_000):
+        some = ids[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], ["id", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each id of `edges` (a, b: long) can reach.
 
-    Large-star and small-star in turn (Kiveris et al., 2014): every step hangs neighbours
-    on smaller ones, and the number of steps grows with the logarithm of a path's length.
-    Each step ends in a table in the shared folder, in place of the one before. A hub's
-    neighbours stay where they are, see `with_sums`.
+    Edges that are few, as counted (BROADCAST_ROWS), are joined in one task. Else large-star
+    and small-star in turn (Kiveris et al., 2014): every step hangs neighbours on smaller
+    ones, and the number of steps grows with the logarithm of a path's length. Each step
+    ends in a table in the shared folder, in place of the one before. A hub's neighbours
+    stay where they are, see `with_sums`.
     """
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen is None and state[0] <= BROADCAST_ROWS:
+            return now.coalesce(1).mapInArrow(_joined, "id long, label long")
         if state == seen:
             return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(now.select(F.col("b"), F.col("b")).distinct())
         seen = state

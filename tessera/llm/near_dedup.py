@@ -13,8 +13,10 @@ is 2e-8, and for sets that the sketch holds whole, two in a row are always share
    full sets, made again from the texts. What is linked falls into components.
 2. Lists that still hold several components: a short list gives all its pairs across
    components, filtered and verified likewise.
-3. Long lists (common passages, very large groups) would give too many pairs. Their members
-   are listed once more, by each retained value; of these lists the short ones give all
+3. Long lists (common passages, very large groups) would give too many pairs. A member of
+   COMMON_KEYS open long lists at most has all its other keys in step 2: at 0.75 the chance
+   that a similar set shares none of those is below 4e-7. The other members (half of them is
+   common text) are listed once more, by each retained value; of these lists the short ones give all
    their pairs across components. At 0.75, six in seven values of the smaller set and three
    in four of the larger one are shared; a member that has EASY of its FIRST smallest values
    in short lists shares none of them with a chance below 1e-7.
@@ -48,6 +50,8 @@ from ._shared import components, lean, only, ranked, small_batches, stored, with
 K = 32
 #: Members of a list up to which its pairs are listed; and members of a block.
 SHORT, BLOCK = 64, 768
+#: Long lists that a class may be in and still be found by its other keys.
+COMMON_KEYS = 7
 #: A class with so many of its smallest values in short lists is found through them.
 EASY, FIRST = 12, 24
 #: Of K union values, so many must be shared: at 0.75 fewer are with a chance of 1e-7.
@@ -112,10 +116,12 @@ def _alike(n_a, n_b, percent: int):
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch doesn't rule the similarity out."""
-    ids = stored(pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "rep"))
-    some = stored(only(classes.select("rep", "n", "sketch"), ids, "rep"))
-    side = lambda s: some.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = stored(pairs)
+    counts = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("c")))
+    some = stored(only(classes.select("rep", "n", "sketch"), counts.select("rep"), "rep").join(counts, "rep"))
+    side = lambda s: some.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"), F.col("c").alias(f"c_{s}"))
+    total = 2 * pairs.count()
+    both = with_sums(with_sums(pairs, side("a"), ["a"], "c_a", total), side("b"), ["b"], "c_b", total)
     both = both.withColumn("union", F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, K))
     shared = F.size(F.array_intersect("union", F.array_intersect("s_a", "s_b")))
     whole = (F.col("n_a") <= K) & (F.col("n_b") <= K) & (F.size(F.array_union("s_a", "s_b")) <= K)
@@ -268,7 +274,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
 
     long_ = _open(open_lists.where(F.col("c") > SHORT).drop("comp"), edges, listed)
     if not long_.isEmpty():
-        asked = long_.groupBy("rep").agg(F.max("n").alias("n"), F.min("comp").alias("comp"))
+        asked = long_.groupBy("rep").agg(F.max("n").alias("n"), F.min("comp").alias("comp"), F.count(F.lit(1)).alias("m")).where((F.col("m") > COMMON_KEYS) | (F.col("n") <= K)).drop("m")
         asked = stored(asked.join(classes.select("rep", "n", "sketch"), ["rep", "n"]))
         values, listed = _lists(asked.select("rep", "n", "comp", F.posexplode("sketch").alias("place", "key")))
         more = _verified(_promising(_pairs(values, percent), classes, percent), texts, shingle, percent)

@@ -1,9 +1,10 @@
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
-from tessera.llm import line_dedup, near_dedup
+from tessera.llm import _shared, line_dedup, near_dedup
 
 
 def brute_lines(rows):
@@ -99,6 +100,53 @@ def test_near(docs, prose, monkeypatch, short, block):
     check_near(prose, near_dedup.near_duplicates(docs(prose)).collect())
 
 
+def test_near_by_stars_and_shuffles(docs, prose, monkeypatch):
+    """Nothing is small enough for one task or a broadcast."""
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(near_dedup, "SHORT", 8)
+    check_near(prose[:200], near_dedup.near_duplicates(docs(prose[:200])).collect())
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", most)
+    edges = [(i, i + 1) for i in range(10, 40)] + [(100, 7), (7, 3), (3, 100), (5, 5), (60, 50), (50, 61), (61, 62)]
+    got = {r["id"]: r["label"] for r in _shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 10 for i in range(10, 41)}, **{i: 3 for i in (3, 7, 100)}, **{i: 50 for i in (50, 60, 61, 62)}}
+
+
+def test_near_with_a_common_passage(docs):
+    """A passage in 1,200 documents: some with much text of their own, near copies among them, some with little."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = [passage + [word() for _ in range(rng.choice((90, 60, 40)))] for _ in range(1000)]
+    for i in range(0, 400, 8):
+        rows.append([w if rng.random() > 0.015 else word() for w in rows[i]])
+    rows += [[word() for _ in range(3)] + passage[rng.randint(0, 8) :] + [word() for _ in range(rng.randint(0, 30))] for _ in range(150)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    sets = [shingles(t) for _, t in rows]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders[x] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(rows)).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def test_near_small_sets(docs):
     rows = [(i, " ".join(f"w{j}" for j in range(a, a + n))) for i, (a, n) in enumerate([(0, 7), (0, 8), (1, 8), (0, 5), (0, 4), (0, 4), (0, 9), (3, 40), (4, 40), (3, 60)])]
     check_near(rows, near_dedup.near_duplicates(docs(rows)).collect())
