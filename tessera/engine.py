@@ -41,11 +41,13 @@ class Engine:
         self.spark, self.dialect, self.today, self.cache = spark, dialect, today, cache
         self.router = Router()
         self.current: str | None = None
+        self.registered: dict[str, int] = {}  # how often each name has been given to a table
 
     # Tables.
 
     def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> Engine:
         self.router.add(name, df if callable(df) else lambda: df)
+        self.registered[name.lower()] = self.registered.get(name.lower(), 0) + 1
         self.current = name
         return self
 
@@ -91,10 +93,13 @@ class Engine:
         d = dialect or self.dialect
         node = parse(query, d.flat_logic)
         name = node.table or self.current or ""
-        cached = self.cache.load(self.spark, query) if self.cache is not None and not refresh else None
-        df = cached if cached is not None else Compiler(self.table(node.table), d, self.today).select(node)
+        table = self.table(node.table)
+        # The same text is another query for another table, registration, schema, dialect or day.
+        context = repr((name.lower(), self.registered.get(name.lower(), 0), table.schema.simpleString(), d, self.today or date.today()))
+        cached = self.cache.load(self.spark, query, context) if self.cache is not None and not refresh else None
+        df = cached if cached is not None else Compiler(table, d, self.today).select(node)
         if self.cache is not None and cached is None:
-            df = self.cache.save(df, query, name)
+            df = self.cache.save(df, query, name, context)
         hidden = tuple(empty_columns(df)) if hide_empty else ()
         return Result(df.drop(*hidden) if hidden else df, query, "cache" if cached is not None else "table", name, cached is not None, hidden)
 

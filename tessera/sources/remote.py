@@ -19,7 +19,9 @@ def post(url: str, body: dict) -> dict:
 class QueryService(DataSource):
     """spark.read.format("queryservice").schema(...).option("url", ...).option("select", ...) .load()
 
-    Pages of `take` rows are asked for by `skip`, each in a task of its own, up to `rows`.
+    Pages of `take` rows are asked for by `skip`, each in a task of its own, up to `rows` or,
+    if that isn't given, the service's `totalCount`. A service that doesn't tell one is read by
+    one task, page after page, until a page is short.
     """
 
     @classmethod
@@ -34,8 +36,8 @@ class QueryService(DataSource):
 
 
 class _Page(InputPartition):
-    def __init__(self, skip: int, take: int):
-        self.skip, self.take = skip, take
+    def __init__(self, skip: int, take: int, on: bool = False):
+        self.skip, self.take, self.on = skip, take, on
 
 
 class _Pages(DataSourceReader):
@@ -45,18 +47,31 @@ class _Pages(DataSourceReader):
         self.schema, self.options = schema, options
 
     def partitions(self) -> list[_Page]:
-        take, rows = int(self.options.get("take", 100)), int(self.options.get("rows", 100))
-        return [_Page(s, min(take, rows - s)) for s in range(0, rows, take)]
+        take, rows = int(self.options.get("take", 100)), self.options.get("rows")
+        if rows is None:
+            rows = self._ask(0, 1).get("totalCount")
+        if rows is None:
+            return [_Page(0, take, True)]
+        return [_Page(s, min(take, int(rows) - s)) for s in range(0, int(rows), take)]
 
     def read(self, partition: _Page):
-        body = {"skip": partition.skip, "take": partition.take}
+        skip = partition.skip
+        while True:
+            rows = self._ask(skip, partition.take).get("data", [])
+            for row in rows:
+                yield tuple(row.get(f.name) for f in self.schema.fields)
+            skip += partition.take
+            if not partition.on or len(rows) < partition.take:
+                return
+
+    def _ask(self, skip: int, take: int) -> dict:
+        body = {"skip": skip, "take": take}
         if self.options.get("select"):
             body["select"] = self.options["select"].split(",")
         for key in ("where", "orderBy"):
             if self.options.get(key.lower()):
                 body[key] = self.options[key.lower()]
-        for row in self.fetch(self.options["url"], body).get("data", []):
-            yield tuple(row.get(f.name) for f in self.schema.fields)
+        return self.fetch(self.options["url"], body)
 
 
 def jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

@@ -80,3 +80,34 @@ def test_names_in_other_cases(spark):
     e = Engine(spark).load_rows([{"platform_order_id": 1, "tradeDate": "x"}])
     assert e.sql("SELECT platformOrderId, trade_date, TradeDate FROM data").columns == ["platform_order_id", "tradeDate", "tradeDate"]
     assert e.sql("SELECT tradeDate FROM data WHERE PlatformOrderId = 1").count() == 1
+
+
+def test_cache_knows_what_was_asked(spark, tmp_path):
+    """The same text of another dialect, table or registration is another entry."""
+    from tessera.plans.dialect import DOCUMENT
+
+    e = Engine(spark, cache=QueryCache(str(tmp_path / "more")))
+    e.load_rows([{"a": "x"}, {"a": "X"}], "one")
+    text = "SELECT a WHERE a = 'x'"
+    assert [e.query(text).count, e.query(text, dialect=DOCUMENT).count] == [2, 1]
+    assert e.query(text).cached and e.query(text, dialect=DOCUMENT).cached
+    e.load_rows([{"a": "x"}], "two")
+    assert e.query(text).count == 1
+    e.load_rows([{"a": "x"}] * 3, "one")
+    again = e.query(text)
+    assert again.count == 3 and not again.cached
+    e.cache.clear(spark)
+    assert not list((tmp_path / "more" / "results").iterdir())
+
+
+def test_entry_survives_missing_libraries(monkeypatch):
+    """Without a library of the operations for training data the other queries are there."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("tessera.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    found = __spark_entry__.queries()
+    assert len(found) > 100 and not any(n.startswith("op") and n[2].isdigit() for n in found)

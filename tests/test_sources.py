@@ -119,3 +119,18 @@ def test_public_shapes(spark):
     assert sorted(map(tuple, remote.pivot_rates(rates).collect())) == [("EUR", "GBP", 0.9), ("EUR", "USD", 1.1)]
     land = spark.createDataFrame([((("X",)), ["c"], "r", 5, 1.0)], "name struct<common:string>, capital array<string>, region string, population int, area double")
     assert tuple(remote.flatten_countries(land).first()) == ("X", "c", "r", 5, 1.0)
+
+
+@pytest.mark.parametrize("total", [250, None])
+def test_service_is_read_to_its_end(total):
+    """Without `rows` all pages are read, whether or not the service tells how many rows there are."""
+    from pyspark.sql import types as T
+
+    def fetch(url, body):
+        rows = [{"id": i} for i in range(body["skip"], min(250, body["skip"] + body["take"]))]
+        return {"data": rows} | ({"totalCount": total} if total else {})
+
+    reader = remote.QueryService({"url": "u", "take": "100"}).reader(T.StructType([T.StructField("id", T.LongType())]))
+    reader.fetch = fetch
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == list(range(250))
+    assert len(reader.partitions()) == (3 if total else 1)
