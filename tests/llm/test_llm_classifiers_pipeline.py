@@ -1,5 +1,6 @@
+import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -56,6 +57,41 @@ def test_scores_dont_depend_on_neighbours():
     assert np.allclose(together, np.concatenate([net.forward([t], parts) for t in texts]), atol=1e-5)
 
 
+def test_forward_by_plain_loops():
+    """Convolution, pooling and the logistic layer's input, place by place; and a long text in chunks."""
+    rng = np.random.default_rng(2)
+    net = toxicity.Network(buckets=32, seed=3)
+    net.embed[:-1] = rng.normal(0, 1, net.embed[:-1].shape)
+    parts = np.array([[32] * 5] + [rng.integers(0, 32, 5).tolist() for _ in range(20)])
+    for n in (0, 1, 2, 7, 40):
+        text = rng.integers(1, 21, n).tolist()
+        vectors = [net.embed[parts[t]].mean(0) for t in [*text, 0, 0, 0]]
+        z = net.base
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(net.bias.shape[1]):
+                best = max(sum(float(vectors[i + j] @ net.conv[k][j][:, f]) for j in range(w)) for i in range(len(vectors) - w + 1))
+                z += max(0.0, best + net.bias[k, f]) * net.out[k, f]
+        assert np.allclose(net.forward([text], parts), z, atol=1e-4)
+        for chunk in (1, 3, 100):
+            assert np.allclose(net.long(text, parts, chunk), z, atol=1e-4)
+
+
+def test_repeated_labels_have_a_rule(spark, docs, corpus):
+    """Of several labels of one id the greatest counts, in whatever order the rows come."""
+    rows, labels, _ = corpus
+    more = [(i, 1 - q, 1 - t) for i, q, t in labels.limit(40).collect()]
+    every = [tuple(r) for r in labels.collect()] + more
+    results = []
+    for some in (every, every[::-1]):
+        frame = spark.createDataFrame(some, labels.schema)
+        net, _ = toxicity.train(docs(rows).select("doc_id", "text", "lang"), frame, most=100)
+        model, rate = quality_classifier.fit_evidence(docs(rows).select("doc_id", "text"), frame, most=300)
+        results.append((net.embed.sum(), model.weights.sum(), rate))
+    assert np.allclose(results[0], results[1], rtol=1e-6)
+    few = quality_classifier.fit_evidence(docs(rows).select("doc_id", "text"), labels, 300, most_chars=2000)
+    assert 0 < few[1] < 1
+
+
 def test_toxicity_odd(spark, docs, odd, corpus):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs(odd), none).collect()
@@ -82,8 +118,34 @@ def test_quality_learns_and_pools(docs, corpus):
     assert sum(r["kept"] == bool(truth[r["doc_id"]][1]) for r in got) >= 0.98 * len(rows)
     assert {r["doc_id"]: r["row"]["text"] for r in got} == {r[0]: r[1] for r in rows}
     # Posteriors as the formulas have them, by hand.
-    p = {r["doc_id"]: 1 / (1 + np.exp(-np.log(r["path_posterior"] / (1 - r["path_posterior"])))) for r in got}
-    assert all(0 < x < 1 for x in p.values())
+    learn = [r for r in truth.values() if r[0] % 2]
+    rate = min(max(sum(r[1] for r in learn) / len(learn), 0.01), 0.99)
+    host, path = {r[0]: r[2] for r in rows}, {r[0]: (r[2], r[3]) for r in rows}
+    p = {r["doc_id"]: 1 / (1 + math.exp(-(r["evidence"] + math.log(rate / (1 - rate))))) for r in got}
+    overall = sum(p.values()) / len(p)
+
+    def groups(of):
+        out = defaultdict(list)
+        for i, x in p.items():
+            out[of[i]].append(x)
+        return out
+
+    def prior(cells):
+        n, k = sum(map(len, cells.values())), len(cells)
+        inside = overall * (1 - overall)
+        spread = sum(len(c) * (sum(c) / len(c) - overall) ** 2 for c in cells.values())
+        between = (spread - (k - 1) * inside) / (n - sum(len(c) ** 2 for c in cells.values()) / n)
+        return min(max(inside / between - 1 if between > 0 else 1000.0, 2.0), 1000.0)
+
+    hosts, paths = groups(host), groups(path)
+    for r in got:
+        i = r["doc_id"]
+        h = (sum(hosts[host[i]]) - p[i] + prior(hosts) * overall) / (len(hosts[host[i]]) - 1 + prior(hosts))
+        q = (sum(paths[path[i]]) - p[i] + prior(paths) * h) / (len(paths[path[i]]) - 1 + prior(paths))
+        q = min(max(q, 1e-6), 1 - 1e-6)
+        score = 1 / (1 + math.exp(-(r["evidence"] + math.log(q / (1 - q)))))
+        assert np.allclose([r["host_posterior"], r["path_posterior"], r["score"]], [h, q, score], atol=1e-5)
+        assert r["kept"] == (r["score"] >= 0.5)
 
 
 def test_shrinking(spark):
@@ -107,6 +169,7 @@ def test_quality_odd(spark, docs, odd):
     assert len(got) == len(odd) and all(r["evidence"] == 0 for r in got)
     assert quality_classifier.classify(docs([]), none).collect() == []
     assert quality_classifier.word_shape("The&&&12") == "Aa&0"
+    assert quality_classifier.word_shape("a" * 300) != quality_classifier.word_shape("a" * 300 + "&9")
 
 
 def test_pipeline_stages(spark, docs, prose, odd, tmp_path):
