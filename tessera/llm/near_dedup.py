@@ -136,9 +136,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     partners is dealt over several tasks by them.
     """
     pairs = stored(pairs)
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / 256)).alias("salt"))
-    heads = dealt.select("a", "salt").distinct()
+    counts = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.count(F.lit(1)) / 256).alias("salts")))
+    dealt = with_sums(pairs, counts, ["a"], "c", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     ids = stored(pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "rep"))
     texts = only(texts, ids, "rep")
     first = heads.join(texts, heads["a"] == texts["rep"]).select("a", "salt", F.lit(0).alias("turn"), F.col("rep").alias("b"), "text")
@@ -326,8 +326,8 @@ def _across(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     spark = lists.sparkSession
     if lists.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    firsts = lists.groupBy("key").agg(F.min("rep").alias("a"))
-    group = stored(components(lists.join(firsts, "key").select("a", F.col("rep").alias("b")).distinct()))
+    firsts = stored(lists.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("m")))
+    group = stored(components(with_sums(lists.select("key", "rep"), firsts, ["key"], "m", _sum(firsts, "m")).select("a", F.col("rep").alias("b")).distinct()))
     rows = lists.groupBy("rep").agg(F.max("n").alias("n"), F.min("comp").alias("comp")).join(group.withColumnRenamed("id", "rep"), "rep")
     rows = ranked(rows.select("rep", "n", "comp", F.col("label").alias("grp")), ["grp"], [F.col("n").asc(), F.col("rep").asc()])
     rows = stored(rows.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK)))
