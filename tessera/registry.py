@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import functions as fn
+from .cache import QueryCache
 from .engine import Engine
 from .operators import flows, profile, view
 from .operators.view import View
 from .plans.dialect import DOCUMENT, VIEW, Dialect
+from .sources import files, sinks
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -363,5 +367,115 @@ sql_query("except_keys", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partke
 sql_query("semi_anti", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 sql_query("json_props", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 
+# Sources and sinks: a table is written, read back with its types found again, and must be what it was.
+def _folder(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+def round_trip(name: str, text: str, oracle: str, write: Callable, read: Callable) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        write(engine(spark, sf_dir).spark_sql(text), path)
+        return read(spark, path)
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+PADDED = "SELECT p_partkey, concat('  ', p_name, ' ') AS p_name, p_brand, CAST(p_size AS BIGINT) AS p_size FROM part"
+NATION = "SELECT CAST(n_nationkey AS {0}) AS n_nationkey, n_name, CAST(n_regionkey AS {0}) AS n_regionkey FROM nation"
+
+
+def _write_array(df: DataFrame, path: str) -> None:
+    df.sparkSession.createDataFrame([(sinks.json_text(df),)], "value string").coalesce(1).write.text(path)
+
+
+round_trip("csv_file", "SELECT * FROM bought", f"SELECT * FROM {BOUGHT}", sinks.write_csv, lambda s, p: files.read_csv(s, p, sample=None))
+round_trip("csv_breaks", "SELECT c_custkey, concat(c_name, ', \"a\"\n', c_mktsegment) AS note FROM customer", "SELECT c_custkey, c_name || ', \"a\"' || chr(10) || c_mktsegment AS note FROM customer", sinks.write_csv, files.read_csv)
+round_trip("tsv_file", PADDED, PADDED, sinks.write_tsv, lambda s, p: files.read_csv(s, p, sep="\t"))
+round_trip("csv_doubles", "SELECT * FROM nation", NATION.format("DOUBLE"), sinks.write_csv, lambda s, p: files.read_csv(s, p, numbers_as_double=True))
+round_trip("json_lines", "SELECT * FROM bought", f"SELECT * FROM {BOUGHT}", sinks.write_json, files.read_json)
+round_trip("json_strings", "SELECT * FROM nation", NATION.format("VARCHAR"), lambda df, p: sinks.write_json(df, p, strings=True), files.read_json)
+round_trip("json_array", "SELECT * FROM nation", NATION.format("BIGINT"), _write_array, files.read_json)
+
+QUERIES["rows_memory"] = lambda spark, sf_dir: files.from_rows(spark, [{"a": 1, "b": "x"}, {"a": 2, "c": True}, 7])
+ORACLES["rows_memory"] = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'x', CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT)), (2, NULL, true, NULL), (NULL, NULL, NULL, 7)) AS t(a, b, c, value)"
+QUERIES["current_table"] = lambda spark, sf_dir: Engine(spark).load(f"{sf_dir}/nation.parquet").sql("SELECT n_name WHERE n_regionkey = 2")
+ORACLES["current_table"] = "SELECT n_name FROM nation WHERE n_regionkey = 2"
+QUERIES["limited"] = lambda spark, sf_dir: engine(spark, sf_dir).limited("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey", 25)
+ORACLES["limited"] = "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25"
+
+
+def first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.router.add("region", lambda: table(spark, sf_dir, "nation"), source="later")
+    return e.sql("SELECT * FROM REGION")
+
+
+def cached_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second answer, from the cache; the first had another dialect."""
+    e = engine(spark, sf_dir)
+    e.cache = QueryCache(_folder(spark))
+    text = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'building'"
+    e.query(text, DOCUMENT)
+    e.query(text, VIEW)
+    found = e.query(text, VIEW)
+    assert found.cached
+    return found.df
+
+
+def padded_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.register("padded", e.spark_sql(PADDED))
+    return e.sql("SELECT p_partkey FROM padded WHERE p_name.Trim() = 'small ring' OR p_name.TrimStart() = 'large bolt ' OR p_name.TrimEnd() = '  red gear' OR p_name = 'blue ring'")
+
+
+def today_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.today = date(1997, 6, 1)
+    return e.sql("SELECT o_orderkey FROM orders WHERE o_orderdate >= DateTime()")
+
+
+QUERIES |= {f.__name__: f for f in (first_source, cached_result, padded_trims, today_orders)}
+ORACLES["first_source"] = "SELECT * FROM region"
+ORACLES["cached_result"] = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
+ORACLES["padded_trims"] = "SELECT p_partkey FROM part WHERE lower(p_name) IN ('small ring', 'large bolt', 'red gear')"
+ORACLES["today_orders"] = "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1997-06-01'"
+
+
+# Views as texts and specifications.
+@frame_query("SELECT 'n_nationkey,n_name' || chr(10) || string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_name) AS text FROM (SELECT *, row_number() OVER (ORDER BY n_name) AS i FROM nation) WHERE i IN (1, 3, 20)")
+def copied_rows(t):
+    rows = sinks.selected(View(t("nation")).sort_by("n_name").numbered().df, "#", [1, 3, 20]).select("n_nationkey", "n_name")
+    return rows.sparkSession.createDataFrame([(sinks.csv_text(rows),)], "text string")
+
+
+@frame_query("SELECT * FROM nation")
+def filter_cleared(t):
+    return View(t("nation")).filter_text("a").clear_filter().df
+
+
+@frame_query("SELECT * FROM nation ORDER BY n_name DESC LIMIT 5")
+def toggled_sort(t):
+    return View(t("nation")).toggle_sort("n_name").toggle_sort("n_name").limit(5).df
+
+
+@frame_query(" UNION ALL ".join(f"SELECT '{c}' AS name, CAST(least(50, greatest(3, {len(c)}, max(strlen(CAST({c} AS VARCHAR))))) AS BIGINT) AS width FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")))
+def column_widths(t):
+    return t("nation").sparkSession.createDataFrame(list(view.widths(t("nation"), None).items()), "name string, width long")
+
+
+@frame_query(f"SELECT CAST(c_custkey AS VARCHAR) AS k, coalesce(o_orderstatus, '') AS status FROM {BOUGHT} ORDER BY c_custkey, o_orderkey NULLS FIRST LIMIT 40 OFFSET 10")
+def row_texts(t):
+    bought = t("customer").join(t("orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    rows = View(bought).select("c_custkey", "o_orderstatus").sort_by("c_custkey", "o_orderkey").limit(40, 10).rows()
+    return bought.sparkSession.createDataFrame(rows, "k string, status string")
+
+
+@frame_query("SELECT 'n_nationkey' AS name, CASE WHEN 10 * count(*) FILTER (regexp_full_match(CAST(n_nationkey AS VARCHAR), '[+-]?[0-9]+')) > 9 * count(*) THEN 'Integer' ELSE 'Mixed' END AS type FROM nation")
+def dominant_types(t):
+    return t("nation").sparkSession.createDataFrame([("n_nationkey", profile.dominant_type(t("nation"), "n_nationkey"))], "name string, type string")
+
+
 names = reduce(lambda a, b: a | {b}, QUERIES, set())
 assert names == set(ORACLES)

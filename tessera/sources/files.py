@@ -75,14 +75,22 @@ def apply_types(df: DataFrame, kinds: dict[str, str], check: bool = True) -> Dat
     return df.select(*[typed(quote(c), kinds.get(c, "string")).alias(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", sample: int | None = SAMPLE, check: bool = True, text_null: bool = True, numbers_as_double: bool = False) -> DataFrame:
+def _breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field spans lines: the line on which one starts has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", sample: int | None = SAMPLE, check: bool = True, text_null: bool = True, numbers_as_double: bool = False, multi_line: bool | None = None) -> DataFrame:
     """A CSV file with a header. Empty fields, and the text `null` in any case if `text_null`, are NULL.
 
-    Every record must have as many fields as the header, or reading fails.
+    Every record must have as many fields as the header, or reading fails. Files are split
+    over tasks unless fields hold line breaks: `multi_line` says so; None looks for them in one pass.
     """
-    head = spark.read.csv(path, header=True, sep=sep, inferSchema=False, quote='"', escape='"', multiLine=True)
+    multi_line = _breaks(spark, path) if multi_line is None else multi_line
+    head = spark.read.csv(path, header=True, sep=sep, inferSchema=False, quote='"', escape='"', multiLine=multi_line)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in head.columns])
-    df = spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="FAILFAST", nullValue="")
+    df = spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST", nullValue="")
     quote = lambda c: F.col("`" + c.replace("`", "``") + "`")
     if text_null:
         df = df.select(*[F.when(F.lower(quote(c)) != "null", quote(c)).alias(c) for c in df.columns])
@@ -98,9 +106,16 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[(F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields])
 
 
+def _one_value(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file is an array, or one object over several lines, by its first line."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    first = lines.select(F.col("value").rlike(r"^\s*\[").alias("array"), F.get_json_object("value", "$").isNull().alias("part")).first()
+    return first is None or first["array"] or first["part"]
+
+
 def read_json(spark: SparkSession, path: str, first_object_columns: bool = False, order: list[str] | None = None) -> DataFrame:
-    """An array of objects, or one object a line: columns of all objects, missing ones NULL."""
-    df = _flat(spark.read.json(path, multiLine=True))
+    """An array of objects (read by one task), or one object a line: columns of all objects, missing ones NULL."""
+    df = _flat(spark.read.json(path, multiLine=_one_value(spark, path)))
     if first_object_columns:
         first = df.limit(1).collect()
         df = df.select(*[f"`{c}`" for c in df.columns if first and first[0][c] is not None])

@@ -14,15 +14,13 @@ from ..operators.view import as_text
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Fields with commas, quotes or line breaks are quoted, quotes doubled."""
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="")
+    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Without quotes; tabs and line breaks inside a cell become spaces."""
     plain = df.select(*[F.regexp_replace(F.coalesce(as_text(df, c), F.lit("")), r"[\t\r\n]", " ").alias(c) for c in df.columns])
-    lines = plain.select(F.concat_ws("\t", *[F.col(f"`{c}`") for c in plain.columns]).alias("value"))
-    header = df.sparkSession.createDataFrame([("\t".join(df.columns),)], "value string")
-    header.coalesce(1).unionAll(lines).write.mode(mode).text(path)
+    plain.write.mode(mode).csv(path, header=True, sep="\t", quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite", strings: bool = False) -> None:
@@ -37,7 +35,7 @@ def selected(df: DataFrame, number: str, rows: list[int]) -> DataFrame:
 
 
 def csv_text(df: DataFrame, most: int = 10_000) -> str:
-    """A result of at most `most` rows as CSV text."""
+    """A result as CSV text; one of more than `most` rows is an error, here and in the other texts."""
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(df.columns)
@@ -52,8 +50,8 @@ def tsv_text(df: DataFrame, most: int = 10_000, header: bool = True) -> str:
 
 
 def json_text(df: DataFrame, most: int = 10_000) -> str:
-    rows = df.limit(most).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
-    return json.dumps([json.loads(r[0]) for r in rows.collect()], indent=2, ensure_ascii=False)
+    rows = df.limit(most + 1).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    return json.dumps([json.loads(r[0]) for r in _whole(rows.collect(), most)], indent=2, ensure_ascii=False)
 
 
 def column_text(df: DataFrame, name: str, most: int = 10_000) -> str:
@@ -69,5 +67,11 @@ def schema_text(df: DataFrame) -> str:
     return "\n".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _texts(df: DataFrame, most: int):
-    return df.limit(most).select(*[as_text(df, c).alias(c) for c in df.columns]).collect()
+def _whole(rows: list, most: int) -> list:
+    if len(rows) > most:
+        raise ValueError(f"The result has more than {most} rows; write it to a file, or limit it")
+    return rows
+
+
+def _texts(df: DataFrame, most: int) -> list:
+    return _whole(df.limit(most + 1).select(*[as_text(df, c).alias(c) for c in df.columns]).collect(), most)
