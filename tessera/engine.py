@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date
@@ -123,7 +124,9 @@ class Engine:
         return View(self.table(name))
 
     def spark_sql(self, query: str) -> DataFrame:
-        """Full Spark SQL (joins, windows, CTEs) over the same tables."""
+        """Full Spark SQL (joins, windows, CTEs) over the same tables; only those that the text names are opened."""
+        words = set(re.findall(r"\w+", query.lower()))
         for name in self.router.names():
-            self.router.find(name)().createOrReplaceTempView(name)
+            if words >= set(re.findall(r"\w+", name.lower())):
+                self.router.find(name)().createOrReplaceTempView(name)
         return self.spark.sql(query)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,26 +19,50 @@ def _number(df: DataFrame, name: str) -> Column:
     return quoted(name).cast("double") if kind_of(df.schema[name].dataType) in ("int", "float") else quoted(name).try_cast("double")
 
 
+#: The figures of a profile, in order.
+FIGURES = ["non_null", "distinct", "min_text", "max_text", "min_length", "max_length", "numbers", "sum", "mean", "min", "max"]
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """One row per column, from one pass: counts, distinct values, extremes as text and as
-    numbers, sum, mean, least and greatest byte length. An empty text counts as NULL.
-    `approximate` counts distinct values by a sketch, without the exchange that exact counts need."""
+    """One row per column: counts, distinct values, extremes as text and as numbers, sum,
+    mean, least and greatest byte length. An empty text counts as NULL.
+
+    Each column is grouped by value on a scan of it alone, and all figures follow from the
+    groups: every task sends a value once, and no row is multiplied by the columns.
+    `approximate` takes all columns in one pass without an exchange of values and counts
+    distinct values by a sketch.
+    """
     columns = columns or df.columns
+    found = _sketched(df, columns) if approximate else reduce(DataFrame.unionByName, [_by_value(df, c) for c in columns])
+    return found.withColumn("nulls", F.col("total") - F.col("non_null"))
+
+
+def _by_value(df: DataFrame, name: str) -> DataFrame:
+    one = df.select(as_text(df, name).alias("text"), _number(df, name).alias("number"))
+    groups = one.groupBy(F.when(F.col("text") != "", F.col("text")).alias("text")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("number").alias("numbers"), F.sum("number").alias("sum"), F.min("number").alias("min"), F.max("number").alias("max")
+    )
+    size, total = F.octet_length("text"), lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return groups.agg(
+        total(F.col("n")).alias("total"), total(F.when(F.col("text").isNotNull(), F.col("n"))).alias("non_null"), F.count("text").alias("distinct"),
+        F.min("text").alias("min_text"), F.max("text").alias("max_text"), F.min(size).alias("min_length"), F.max(size).alias("max_length"),
+        total(F.col("numbers")).alias("numbers"), F.sum("sum").alias("sum"), F.try_divide(F.sum("sum"), F.sum("numbers")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"),
+    ).select(F.lit(name).alias("column"), F.lit(kind_of(df.schema[name].dataType)).alias("type"), "total", *FIGURES)
+
+
+def _sketched(df: DataFrame, columns: list[str]) -> DataFrame:
     parts: list[Column] = []
     for i, c in enumerate(columns):
         text, number = as_text(df, c), _number(df, c)
         full = F.when(text != "", text)
-        distinct = F.approx_count_distinct(full) if approximate else F.count_distinct(full)
-        parts += [
-            F.count(full).alias(f"{i}_non_null"), distinct.alias(f"{i}_distinct"), F.min(full).alias(f"{i}_min_text"), F.max(full).alias(f"{i}_max_text"),
-            F.min(F.octet_length(full)).alias(f"{i}_min_length"), F.max(F.octet_length(full)).alias(f"{i}_max_length"),
-            F.count(number).alias(f"{i}_numbers"), F.sum(number).alias(f"{i}_sum"), F.avg(number).alias(f"{i}_mean"), F.min(number).alias(f"{i}_min"), F.max(number).alias(f"{i}_max"),
+        values = [
+            F.count(full), F.approx_count_distinct(full), F.min(full), F.max(full), F.min(F.octet_length(full)), F.max(F.octet_length(full)),
+            F.count(number), F.sum(number), F.avg(number), F.min(number), F.max(number),
         ]
+        parts += [v.alias(f"{i}_{n}") for n, v in zip(FIGURES, values, strict=True)]
     sums = df.agg(F.count(F.lit(1)).alias("total"), *parts)
-    names = ["non_null", "distinct", "min_text", "max_text", "min_length", "max_length", "numbers", "sum", "mean", "min", "max"]
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kind_of(df.schema[c].dataType)).alias("type"), F.col("total"), *[F.col(f"{i}_{n}").alias(n) for n in names]) for i, c in enumerate(columns)])
-    out = sums.select(F.explode(rows).alias("r")).select("r.*")
-    return out.withColumn("nulls", F.col("total") - F.col("non_null"))
+    row = lambda i, c: F.struct(F.lit(c).alias("column"), F.lit(kind_of(df.schema[c].dataType)).alias("type"), "total", *[F.col(f"{i}_{n}").alias(n) for n in FIGURES])
+    return sums.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(columns)])).alias("r")).select("r.*")
 
 
 def value_frequency(df: DataFrame, column: str, top: int = TOP) -> DataFrame:
@@ -48,20 +73,27 @@ def value_frequency(df: DataFrame, column: str, top: int = TOP) -> DataFrame:
 def exact_quantile_pair(df: DataFrame, column: str) -> DataFrame:
     """(median): the middle value, or the mean of the middle two, without gathering the column in one place.
 
-    Values are counted, the counts range-partitioned and summed up by partition; only
-    the partitions' sums, one row each, meet. Every value then knows its first and last
-    position, and the middle ones are filtered out.
+    Values are counted and the counts range-partitioned; the partitions' sums, one row
+    each, say which of them hold the middle, and only those are gone through. It is
+    computed at once, and what it keeps meanwhile is released.
     """
     counts = df.where(quoted(column).isNotNull()).groupBy(quoted(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    pieces = counts.repartitionByRange("v").withColumn("piece", F.spark_partition_id()).persist()
-    sums = pieces.groupBy("piece").agg(F.sum("n").alias("n"))
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    before = sums.select("piece", (F.sum("n").over(W.orderBy("piece")) - F.col("n")).alias("before"))
-    inside = F.sum("n").over(W.partitionBy("piece").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = pieces.withColumn("last", inside).join(F.broadcast(before), "piece").withColumn("last", F.col("last") + F.col("before"))
-    places = sorted({(total + 1) // 2, total // 2 + 1})
-    hit = reduce(lambda a, b: a | b, [(F.col("last") >= p) & (F.col("last") - F.col("n") < p) for p in places])
-    return placed.where(hit).agg(F.avg("v").alias("median"))
+    pieces = counts.repartitionByRange("v").withColumn("piece", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    try:
+        sums = dict(pieces.groupBy("piece").agg(F.sum("n")).collect())
+        total, middle = sum(sums.values()), []
+        for place in sorted({(total + 1) // 2, total // 2 + 1}) if total else []:
+            piece, before = 0, 0
+            while before + sums.get(piece, 0) < place:
+                before += sums.get(piece, 0)
+                piece += 1
+            so_far = F.sum("n").over(W.partitionBy("piece").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+            inside = pieces.where(F.col("piece") == piece).withColumn("last", so_far)
+            middle.append(inside.where(F.col("last") >= place - before).agg(F.min("v")).first()[0])
+    finally:
+        pieces.unpersist()
+    found = sum(middle) / len(middle) if middle else None
+    return df.sparkSession.range(1).select(F.lit(found).cast("double").alias("median"))
 
 
 def median(df: DataFrame, column: str) -> DataFrame:
@@ -82,6 +114,13 @@ def dominant_type(df: DataFrame, column: str, share: float = 0.9) -> str:
     return next((r["kind"] for r in found if r["count"] > share * total), "Mixed") if total else "Null"
 
 
+def memory_size(df: DataFrame) -> int:
+    """Bytes of the cells as a reader sees them, an estimate of what the table takes: 8 for a number, the bytes of a text."""
+    size = lambda c: F.lit(8) if kind_of(df.schema[c].dataType) in ("int", "float") else F.octet_length(quoted(c).cast("string"))
+    cells = [F.when(quoted(c).isNotNull(), size(c)).otherwise(0).cast("long") for c in df.columns]
+    return df.agg(F.sum(reduce(lambda a, b: a + b, cells, F.lit(0)))).first()[0] or 0
+
+
 def table_stats(df: DataFrame) -> DataFrame:
     """Rows, columns, NULLs over all columns, in one pass."""
     nulls = reduce(lambda a, b: a + b, [F.sum(quoted(c).isNull().cast("long")) for c in df.columns], F.lit(0))

@@ -13,10 +13,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .. import functions as fn
 from ..plans.compiler import kind_of
+from .ranks import number_rows
 
 MAX_PINNED = 4
 #: Texts that count as empty, in lower case, trimmed.
@@ -229,8 +229,27 @@ class View:
     def search_columns(self, pattern: str) -> list[str]:
         return [c for c in self.columns if pattern.lower() in c.lower()]
 
+    def next_column(self, pattern: str, now: str | None = None, back: bool = False) -> str | None:
+        """The column found after (or before) `now`, round the end; the first (or last) one without `now`."""
+        found = [self.columns.index(c) for c in self.search_columns(pattern)]
+        if not found:
+            return None
+        if now is None:
+            return self.columns[found[-1 if back else 0]]
+        at = self.columns.index(self.resolve(now))
+        beyond = [i for i in found if (i < at if back else i > at)] or found
+        return self.columns[beyond[-1 if back else 0]]
+
+    def generate(self, name: str, value: Column) -> View:
+        """A further column at the right, computed from those of the source; filters and sorts see it."""
+        if name.lower() in (c.lower() for c in self.source.columns):
+            raise ValueError(f"There is a column {name}")
+        shown = None if self.shown is None else (*self.shown, name)
+        return replace(self, source=self.source.withColumn(name, value), shown=shown)
+
     def numbered(self, name: str = "#") -> View:
-        """A row-number column at the left; the rows need an order: sort keys or an ordinal."""
+        """A row-number column at the left; the rows need an order: sort keys or an ordinal.
+        They are placed when `df` is taken, by one sort over range partitions."""
         return replace(self, number=name)
 
     # Results.
@@ -252,8 +271,12 @@ class View:
         if self.number:
             if not keys:
                 raise ValueError("Row numbers need sort keys or an ordinal column")
-            df = df.withColumn(self.number, F.row_number().over(W.orderBy(*keys)))
-            df, columns = df.orderBy(self.number), [quoted(self.number), *columns]
+            named = [c for c in df.columns if c in {*self.columns, *[n for n, _ in self.order], self.ordinal}]
+            df = df.select(*[quoted(c) for c in named])
+            if self.most is not None:  # a page: what comes after it isn't placed
+                df = df.orderBy(*keys).limit(self.skip + self.most)
+            df = number_rows(df, keys, self.number)
+            df, columns = df.orderBy(quoted(self.number)), [quoted(self.number), *columns]
         elif keys and (self.order or self.most is not None or self.skip):
             df = df.orderBy(*keys)
         df = df.select(*columns)

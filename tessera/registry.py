@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import reduce
@@ -10,11 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from . import functions as fn
 from .cache import QueryCache
 from .engine import Engine
-from .operators import flows, profile, view
+from .operators import flows, profile, ranks, view
 from .operators.view import View
 from .plans.dialect import DOCUMENT, VIEW, Dialect
 from .sources import files, sinks
@@ -25,8 +25,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Schemas by application and path: a file's footer is read once for all queries.
+SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in SCHEMAS:
+        SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[key]).parquet(path)
 
 
 def engine(spark: SparkSession, sf_dir: str, dialect: Dialect = VIEW) -> Engine:
@@ -368,14 +376,9 @@ sql_query("semi_anti", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1
 sql_query("json_props", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 
 # Sources and sinks: a table is written, read back with its types found again, and must be what it was.
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
 def round_trip(name: str, text: str, oracle: str, write: Callable, read: Callable) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = _folder(spark)
+        path = ranks.scratch_folder(spark)
         write(engine(spark, sf_dir).spark_sql(text), path)
         return read(spark, path)
 
@@ -415,7 +418,7 @@ def first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cached_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second answer, from the cache; the first had another dialect."""
     e = engine(spark, sf_dir)
-    e.cache = QueryCache(_folder(spark))
+    e.cache = QueryCache(ranks.scratch_folder(spark))
     text = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'building'"
     e.query(text, DOCUMENT)
     e.query(text, VIEW)
