@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from .cache import QueryCache
 from .operators.view import View, empty_columns
 from .plans import ast
-from .plans.compiler import Compiler
+from .plans.compiler import KINDS, Compiler
 from .plans.dialect import VIEW, Dialect
 from .plans.parser import QueryError, parse, parse_condition
 from .sources import files
@@ -43,6 +43,7 @@ class Engine:
         self.router = Router()
         self.current: str | None = None
         self.registered: dict[str, int] = {}  # how often each name has been given to a table
+        self.functions: dict[str, tuple[Callable, str]] = {}
 
     # Tables.
 
@@ -52,6 +53,20 @@ class Engine:
         self.current = name
         return self
 
+    def register_function(self, name: str, function: Callable[..., Column], kind: str = "string") -> Engine:
+        """A function of columns, by its name in any case; kind of its results: string, int, float, bool or time.
+
+        It is an expression, built once per query. A pandas UDF is one as well. In `spark_sql`,
+        functions are those that the session has.
+        """
+        if kind not in KINDS:
+            raise ValueError(f"Unknown kind {kind}")
+        self.functions[name.upper()] = (function, kind)
+        return self
+
+    def _compiler(self, df: DataFrame, dialect: Dialect) -> Compiler:
+        return Compiler(df, dialect, self.today, self.functions)
+
     def load(self, path: str, name: str | None = None, **options) -> Engine:
         """A CSV, TSV, JSON or Parquet file; the name of the table follows the file's."""
         return self.register(name or files.table_name(path), files.read(self.spark, path, **options))
@@ -82,12 +97,12 @@ class Engine:
     def sql(self, query: str, dialect: Dialect | None = None) -> DataFrame:
         d = dialect or self.dialect
         node = parse(query, d.flat_logic)
-        return Compiler(self.table(node.table), d, self.today).select(node)
+        return self._compiler(self.table(node.table), d).select(node)
 
     def where(self, condition: str, table: str | None = None, dialect: Dialect | None = None) -> DataFrame:
         d = dialect or self.dialect
         df = self.table(table)
-        return df.where(Compiler(df, d, self.today).predicate(parse_condition(condition, d.flat_logic), False))
+        return df.where(self._compiler(df, d).predicate(parse_condition(condition, d.flat_logic), False))
 
     def query(self, query: str, dialect: Dialect | None = None, hide_empty: bool = False, refresh: bool = False) -> Result:
         """The rows with their origin; from the cache, if there is one and it has them."""
@@ -97,10 +112,11 @@ class Engine:
         table = self.table(node.table)
         # The same text is another query for another table, registration, schema, dialect or day.
         context = repr((name.lower(), self.registered.get(name.lower(), 0), table.schema.simpleString(), d, self.today or date.today()))
-        cached = self.cache.load(self.spark, query, context) if self.cache is not None and not refresh else None
-        df = cached if cached is not None else Compiler(table, d, self.today).select(node)
-        if self.cache is not None and cached is None:
-            df = self.cache.save(df, query, name, context)
+        cache = None if self.functions else self.cache  # a text says nothing about what an own function does
+        cached = cache.load(self.spark, query, context) if cache is not None and not refresh else None
+        df = cached if cached is not None else self._compiler(table, d).select(node)
+        if cache is not None and cached is None:
+            df = cache.save(df, query, name, context)
         hidden = tuple(empty_columns(df)) if hide_empty else ()
         return Result(df.drop(*hidden) if hidden else df, query, "cache" if cached is not None else "table", name, cached is not None, hidden)
 
@@ -109,7 +125,7 @@ class Engine:
         d = dialect or self.dialect
         node = parse(query, d.flat_logic)
         node = ast.Select(node.items, node.table, node.where, node.group, node.having, node.order, take, node.offset + skip, node.distinct)
-        return Compiler(self.table(node.table), d, self.today).select(node)
+        return self._compiler(self.table(node.table), d).select(node)
 
     def limited(self, query: str, most: int = 1000) -> DataFrame:
         """With a limit of `most` rows unless the query has its own."""

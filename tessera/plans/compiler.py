@@ -24,6 +24,8 @@ from .parser import QueryError
 
 STRING, INT, FLOAT, BOOL, TIME, NULL, OTHER = "string", "int", "float", "bool", "time", "null", "other"
 NUMERIC = (INT, FLOAT)
+#: Kinds that a function may return.
+KINDS = (STRING, INT, FLOAT, BOOL, TIME)
 
 
 def kind_of(t: T.DataType) -> str:
@@ -87,8 +89,8 @@ INT_RESULTS = {"FLOOR", "CEIL", "YEAR", "MONTH", "DAY", "DATEDIFF"}
 
 
 class Compiler:
-    def __init__(self, df: DataFrame, dialect: Dialect = VIEW, today: date | None = None):
-        self.df, self.dialect, self.today = df, dialect, today
+    def __init__(self, df: DataFrame, dialect: Dialect = VIEW, today: date | None = None, functions: dict | None = None):
+        self.df, self.dialect, self.today, self.functions = df, dialect, today, functions or {}
         self.fields: dict[str, T.StructField] = {}
         for f in df.schema.fields:
             self.fields.setdefault(f.name.lower(), f)
@@ -182,6 +184,9 @@ class Compiler:
             return Value(F.count_distinct(*cols) if node.distinct else F.count(cols[0]), INT)
         args = [self.value(a) for a in node.args]
         cols = [a.col for a in args]
+        if name in self.functions:
+            own, kind = self.functions[name]
+            return Value(own(*cols), kind)
         if name in AGGREGATES:
             if len(cols) != 1:
                 raise QueryError(f"{name} needs one argument")

@@ -314,7 +314,7 @@ def seq_total(t):
 
 @frame_query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY event_type), 6) AS off FROM events")
 def avg_over(t):
-    return t("events").select("event_id", F.round(F.col("value") - F.avg("value").over(W.partitionBy("event_type")), 6).alias("off"))
+    return flows.off_average(t("events"), "event_type", "value").select("event_id", F.round("off", 6).alias("off"))
 
 
 @frame_query("SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -351,7 +351,7 @@ def self_left_join(t):
 @frame_query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = o_custkey")
 def parent_lookup(t):
     parents = t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    return t("orders").join(parents, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_totalprice")
+    return flows.with_parents(t("orders"), parents, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @frame_query("SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, instr(lower(text), 'the') - 1 AS first_the FROM documents")
@@ -359,7 +359,85 @@ def text_functions(t):
     return t("documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), fn.index_of(F.col("text"), F.lit("the")).cast("long").alias("first_the"))
 
 
+# Reports on flows: events stand for what happens to orders, users for venues, types for states.
+@frame_query("SELECT e.event_id, p.event_id AS purchase_id, p.value AS purchase FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def asof_join(t):
+    bought = t("events").where("event_type = 'purchase'")
+    return flows.last_before(t("events"), bought, ["user_id"], "ts", ["event_id"], {"event_id": "purchase_id", "value": "purchase"}).select("event_id", "purchase_id", "purchase")
+
+
+@frame_query("SELECT e.event_id, p.event_id AS purchase_id FROM events e JOIN events p ON p.event_type = 'purchase' AND e.user_id = p.user_id AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 90 MINUTE")
+def range_join(t):
+    spans = t("events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("since"), (F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("until"))
+    return flows.within(t("events"), spans, ["user_id"], "ts", "since", "until", 3600).select("event_id", "purchase_id")
+
+
+@frame_query("""SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS filled, count(*) FILTER (event_type = 'view') AS partial, count(*) FILTER (event_type = 'signup') AS rejected,
+count(*) FILTER (event_type = 'error') AS bad, round(count(*) FILTER (event_type = 'purchase') * 100 / count(*), 6) AS fill_rate, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'FADING' ELSE 'OK' END AS status
+FROM events GROUP BY user_id""")
+def venue_scorecard(t):
+    return flows.scorecard(t("events"), ["user_id"], "event_type", "purchase", {"view": "partial", "signup": "rejected"}, "error").withColumn("fill_rate", F.round("fill_rate", 6))
+
+
+@frame_query("""SELECT event_id, from_time, ts, round(m, 4) AS gap_minutes, round(f, 4) AS fills_in_period, CASE WHEN f = 0 THEN 'STUCK' WHEN m > 240 THEN 'SLOW' ELSE 'NORMAL' END AS diagnosis
+FROM (SELECT event_id, ts, lag(ts) OVER w AS from_time, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 6e7 AS m, value - lag(value) OVER w AS f FROM events WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE from_time IS NOT NULL""")
+def problem_periods(t):
+    out = flows.periods(t("events").where("event_type = 'click'"), ["user_id"], "ts", "value", 240, ["event_id"])
+    return out.select("event_id", "from_time", "ts", F.round("gap_minutes", 4).alias("gap_minutes"), F.round("fills_in_period", 4).alias("fills_in_period"), "diagnosis")
+
+
+@frame_query("""SELECT user_id, last_time, last_filled, 300.0::DOUBLE AS total, round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_time)) / 6e7, 4) AS minutes_since
+FROM (SELECT user_id, max(ts) AS last_time, max(value) AS last_filled FROM events WHERE event_type = 'purchase' GROUP BY user_id) WHERE last_filled < 300 AND epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_time) > 30 * 6e7""")
+def stuck_orders(t):
+    fills = t("events").where("event_type = 'purchase'").withColumn("ordered", F.lit(300.0))
+    return flows.stuck(fills, ["user_id"], "ts", "value", "ordered", F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")).withColumn("minutes_since", F.round("minutes_since", 4))
+
+
+@frame_query("SELECT sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS lost, max(l_quantity * 1000) AS ordered, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) * 100 / max(l_quantity * 1000), 6) AS lost_pct FROM lineitem")
+def fade_cost(t):
+    return flows.lost_share(t("lineitem"), F.col("l_returnflag") == "R", "l_quantity", F.col("l_quantity") * 1000).withColumn("lost_pct", F.round("lost_pct", 6))
+
+
+@frame_query("""SELECT *, 200.0::DOUBLE - filled AS unfilled, round(filled * 100 / 200, 6) AS fill_rate, CASE WHEN filled * 100 / 200 < 50 THEN 'POOR' WHEN filled * 100 / 200 < 90 THEN 'FAIR' ELSE 'GOOD' END AS quality
+FROM (SELECT l_orderkey, 200.0::DOUBLE AS order_size, sum(l_quantity) AS filled, sum(l_quantity * round(l_extendedprice * 100)) / sum(l_quantity) AS vwap, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'O') AS open FROM lineitem GROUP BY 1)""")
+def execution_quality(t):
+    fills = t("lineitem").withColumns({"ordered": F.lit(200.0), "cents": F.round(F.col("l_extendedprice") * 100)})
+    out = flows.execution_report(fills, ["l_orderkey"], "ordered", "l_quantity", "cents", {"returned": F.col("l_returnflag") == "R", "open": F.col("l_linestatus") == "O"})
+    return out.withColumn("fill_rate", F.round("fill_rate", 6))
+
+
+@frame_query("SELECT l_orderkey, sum(l_quantity) AS filled, avg(round(l_extendedprice * 100)) AS average_price, count(DISTINCT l_suppkey) AS venues FROM lineitem GROUP BY 1")
+def client_summary(t):
+    return t("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("filled"), F.avg(F.round(F.col("l_extendedprice") * 100)).alias("average_price"), F.count_distinct("l_suppkey").alias("venues"))
+
+
+@frame_query("SELECT 'nation' AS name, CAST(sum(16 + strlen(n_name)) AS BIGINT) AS bytes FROM nation")
+def memory_figure(t):
+    return t("nation").sparkSession.createDataFrame([("nation", profile.memory_size(t("nation").select("n_nationkey", "n_name", "n_regionkey")))], "name string, bytes long")
+
+
+@frame_query("SELECT p_partkey, p_name, CAST(strlen(p_name) AS INTEGER) AS letters FROM part WHERE strlen(p_name) > 9")
+def generated_column(t):
+    v = View(t("part")).generate("letters", F.octet_length("p_name"))
+    return v.where(F.col("letters") > 9).select("p_partkey", "p_name", "letters").df
+
+
+q("datediff", "SELECT o_orderkey, DATEDIFF(DateTime(1998, 1, 1), o_orderdate) AS days FROM orders", "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') AS INTEGER) AS days FROM orders")
+
+
+def own_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.register_function("initial", lambda c: F.substring(c, 1, 1), "string")
+    return e.sql("SELECT INITIAL(n_name) AS letter, COUNT(*) AS n FROM nation GROUP BY INITIAL(n_name)")
+
+
+QUERIES["own_function"], ORACLES["own_function"] = own_function, "SELECT n_name[1] AS letter, count(*) AS n FROM nation GROUP BY 1"
+
+
 # Full SQL.
+sql_query("rollup_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+sql_query("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS INTEGER) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+sql_query("interval_days", "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1997-01-01' + INTERVAL '30' DAY")
 sql_query("cte", "WITH big AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey) SELECT c_custkey, n, round(total, 2) AS total FROM big JOIN customer ON c_custkey = o_custkey WHERE n > 3")
 sql_query("scalar_subquery", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4) AS above FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
 sql_query("alias_filter", "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS amount FROM lineitem) t WHERE amount > 2000000")

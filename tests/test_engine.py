@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.cache import QueryCache
 from tessera.engine import Engine
@@ -111,3 +112,12 @@ def test_entry_survives_missing_libraries(monkeypatch):
     monkeypatch.setitem(sys.modules, "zstandard", None)
     found = __spark_entry__.queries()
     assert len(found) > 100 and not any(n.startswith("op") and n[2].isdigit() for n in found)
+
+
+def test_own_functions(spark, tmp_path):
+    e = Engine(spark, cache=QueryCache(str(tmp_path))).load_rows([{"a": "xy"}, {"a": "zz"}])
+    e.register_function("last", lambda c: F.right(c, F.lit(1)))
+    assert [r[0] for r in e.sql("SELECT LAST(a) AS l FROM data WHERE a = 'xy'").collect()] == ["y"]
+    assert not e.query("SELECT LAST(a) AS l FROM data").cached and not e.query("SELECT LAST(a) AS l FROM data").cached
+    with pytest.raises(ValueError):
+        e.register_function("x", F.upper, "shape")

@@ -77,3 +77,15 @@ def test_stream_buckets(spark, fills, tmp_path):
     out = drain(streaming.bucket_counts(stream(spark, fills, tmp_path), "t", 10, value="quantity"), "buckets", "complete")
     want = fills.groupBy(F.window("t", "10 minutes")["start"].alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("total"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_last_before_and_within(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, "a", 7)], "i int, k string, t int").withColumn("t", F.timestamp_seconds("t"))
+    right = spark.createDataFrame([("a", 2, 10), ("a", 5, 20), ("c", 1, 30)], "k string, t int, v int").withColumn("t", F.timestamp_seconds("t"))
+    got = flows.last_before(left, right, ["k"], "t", ["v"], {"v": "seen"}).select("i", "seen").collect()
+    assert sorted(map(tuple, got)) == [(1, 20), (2, None), (3, None), (4, 20)]
+    spans = right.select("k", "v", F.col("t").alias("s"), (F.col("t") + F.expr("INTERVAL 4 SECONDS")).alias("e"))
+    for width in (1, 2, 3, 100):
+        got = flows.within(left, spans, ["k"], "t", "s", "e", width).select("i", "v").collect()
+        assert sorted(map(tuple, got)) == [(1, 10), (1, 20), (4, 20)]
+    assert flows.within(left, spans.where("false"), ["k"], "t", "s", "e", 2).columns == ["i", "k", "t", "v", "s", "e"]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import profile, view
 from tessera.operators.view import View
@@ -87,3 +88,31 @@ def test_frequency_and_types(spark):
     kinds = spark.createDataFrame([("1", "x", "2024-01-01"), ("2", "3", "2024-01-02"), ("", None, "")], "a string, b string, c string")
     assert [profile.dominant_type(kinds, c) for c in "abc"] == ["Integer", "Mixed", "DateTime"]
     assert tuple(profile.table_stats(kinds).first()) == (3, 3, 1)
+
+
+def test_columns_found_in_turn(people):
+    v = View(people)
+    assert [v.next_column("I"), v.next_column("i", "id"), v.next_column("i", "price"), v.next_column("i", "id", back=True)] == ["id", "price", "id", "price"]
+    assert v.next_column("i", back=True) == "price" and v.next_column("zz") is None
+
+
+def test_generated_column(people):
+    v = View(people).generate("double", F.col("price") * 2).where(F.col("double") > 10).sort_by("id")
+    assert v.columns[-1] == "double" and all(float(r[-1]) > 10 for r in v.rows())
+    with pytest.raises(ValueError):
+        v.generate("ID", F.lit(1))
+
+
+def test_numbers_are_placed_by_pieces(spark):
+    rows = spark.range(0, 5000, 1, 7).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(50)))
+    df = View(rows).sort_by(("k", True), "id").numbered().df
+    assert "Window" not in df._jdf.queryExecution().toString()
+    got = [(r["#"], -r["k"], r["id"]) for r in df.collect()]
+    assert [g[0] for g in got] == list(range(1, 5001)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert [r["#"] for r in View(rows).sort_by("id").numbered().limit(3, 10).df.collect()] == [11, 12, 13]
+    assert View(rows.where("false")).sort_by("id").numbered().df.collect() == []
+
+
+def test_profile_has_no_expand(people):
+    assert "Expand" not in profile.profile(people)._jdf.queryExecution().toString()
+    assert profile.profile(people.where("false")).select("total", "non_null", "distinct", "numbers").distinct().collect() == [(0, 0, 0, 0)]
