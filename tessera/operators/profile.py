@@ -81,15 +81,17 @@ def exact_quantile_pair(df: DataFrame, column: str) -> DataFrame:
     pieces = counts.repartitionByRange("v").withColumn("piece", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     try:
         sums = dict(pieces.groupBy("piece").agg(F.sum("n")).collect())
-        total, middle = sum(sums.values()), []
-        for place in sorted({(total + 1) // 2, total // 2 + 1}) if total else []:
+        total, wanted = sum(sums.values()), F.lit(False)
+        so_far = F.sum("n").over(W.partitionBy("piece").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+        holding, last = set(), F.col("last")
+        for place in {(total + 1) // 2, total // 2 + 1} if total else ():
             piece, before = 0, 0
             while before + sums.get(piece, 0) < place:
                 before += sums.get(piece, 0)
                 piece += 1
-            so_far = F.sum("n").over(W.partitionBy("piece").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-            inside = pieces.where(F.col("piece") == piece).withColumn("last", so_far)
-            middle.append(inside.where(F.col("last") >= place - before).agg(F.min("v")).first()[0])
+            holding.add(piece)
+            wanted |= (F.col("piece") == piece) & (last >= place - before) & (last - F.col("n") < place - before)
+        middle = [r["v"] for r in pieces.where(F.col("piece").isin(holding)).withColumn("last", so_far).where(wanted).collect()] if total else []
     finally:
         pieces.unpersist()
     found = sum(middle) / len(middle) if middle else None
