@@ -56,6 +56,8 @@ COMMON_KEYS = 7
 EASY, FIRST = 12, 24
 #: Of K union values, so many must be shared: at 0.75 fewer are with a chance of 1e-7.
 LEAST_SHARED = 11
+#: Partners that are compared with one set in one piece, on average.
+DEAL = 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,10 +135,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """The pairs (a, b) whose full sets are similar. texts: rep, text.
 
     Pairs with the same a meet in one task, where a's set is made once; an a with many
-    partners is dealt over several tasks by them.
+    partners is dealt over several tasks by them, some DEAL partners each.
     """
     pairs = stored(pairs)
-    counts = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.count(F.lit(1)) / 256).alias("salts")))
+    counts = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.count(F.lit(1)) / DEAL).alias("salts")))
     dealt = with_sums(pairs, counts, ["a"], "c", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     heads = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     ids = stored(pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "rep"))
