@@ -10,6 +10,14 @@ stage before has written.
 3. near_duplicates: of each group of near-duplicates the document with the smallest id stays.
 4. mix: each document as often as the mix to target weights takes it.
 5. tokens: every document is encoded and decoded again; ids and bytes as digests.
+
+Stages but the last return the columns of documents and no others; further columns of the
+input are left behind. Empty tables stay empty, with their columns. Repeated rows and rows
+with one id are separate documents to quality, lines, mix and tokens. In near_duplicates an
+id that isn't kept goes with all of its rows, and one that is kept keeps all of them; rows
+with a null id stay. A null text counts as empty: it is judged by its host and path, has no
+lines and no near-duplicates, and is mixed like the others of its source, to which it adds no
+words; a source without any word is taken 0 times.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import quality_classifier, toxicity
 
@@ -195,3 +196,31 @@ def test_pipeline_stages(spark, docs, prose, odd, tmp_path):
     assert max(mixed.values()) <= 3 and sizes["tokens"] == sizes["mix"]
     run = sorted(map(str, cp.run(spark, sf).collect()))
     assert run == sorted(map(str, now.collect()))
+
+
+def test_pipeline_empty(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+
+    sf = str(tmp_path)
+    docs([]).select(*cp.COLUMNS).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    assert cp.run(spark, sf).collect() == []
+
+
+def test_pipeline_stages_defined_cases(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+
+    sf = str(tmp_path)
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = docs([(1, text, "a"), (1, text, "a"), (2, text, "a"), (None, text, "a"), (3, None, "a"), (4, "other words here entirely", "b"), (5, None, "silent")]).select(*cp.COLUMNS)
+    rows.withColumns({"copies": F.lit("x"), "kept": F.lit("y"), "row": F.lit(1)}).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    now, ids = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in cp.STAGES:
+        now = stage(spark, now, sf)
+        ids[name] = sorted((r["doc_id"] for r in now.select("doc_id").collect()), key=str)
+        if name != "tokens":
+            assert now.columns == cp.COLUMNS
+    assert ids["near_duplicates"] == [1, 1, 3, 4, 5, None]
+    assert {1, 4} <= set(ids["mix"]) and 5 not in ids["mix"] and ids["tokens"] == ids["mix"]
+    assert all(n <= 3 * ids["near_duplicates"].count(i) for i, n in Counter(ids["mix"]).items())
