@@ -59,7 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return digests(bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]

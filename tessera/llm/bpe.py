@@ -255,8 +255,12 @@ def _together(dtype: str, kind: pa.DataType):
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 32 << 20, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, ids array<int>) of every document, as the merges of the rank file have it."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 32 << 20, id_col="doc_id", text_col="text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) of every document, as the merges of the rank file have it.
+
+    decoded: with the column of `decode` too, made where the ids are put together, so that
+    a task needs one Python worker instead of two.
+    """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     ranks = read_ranks(ranks_path)
@@ -269,7 +273,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 32
     parts = docs.mapInArrow(lean(_split(pattern, block_bytes, 8 * shuffle_partitions(spark), arrow)), f"dest long, {row}")
     ids = parts.repartition("dest").sortWithinPartitions("dest").mapInArrow(lean(_merge(shared, pattern, dtype)), row)
     turns = ids.repartition("block").sortWithinPartitions("block", "kind")
-    return turns.mapInArrow(lean(_together(dtype, arrow)), f"doc_id {kind}, ids array<int>")
+    together, schema = _together(dtype, arrow), f"doc_id {kind}, ids array<int>"
+    if not decoded:
+        return turns.mapInArrow(lean(together), schema)
+    back = _decoder(spark.sparkContext.broadcast((list(ranks.values()), list(ranks))), "ids")
+    return turns.mapInArrow(lean(lambda batches: back(together(batches))), f"{schema}, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -278,6 +286,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     small_batches(spark)
     ranks = read_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((list(ranks.values()), list(ranks)))
+    schema = encoded.limit(0).select("*", F.lit(b"").alias("decoded")).schema
+    return encoded.mapInArrow(lean(_decoder(shared, ids_col)), schema)
+
+
+def _decoder(shared, ids_col: str):
+    """Batches with the bytes of their ids. shared: ids and bytes of the token-byte table."""
 
     def run(batches):
         tokens, found = pa.array(shared.value[0], pa.int32()), pa.array(shared.value[1], pa.large_binary())
@@ -293,5 +307,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
             decoded = [bytes(flat[s:e]) if ok else None for s, e, ok in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], [*b.schema.names, "decoded"])
 
-    schema = encoded.limit(0).select("*", F.lit(b"").alias("decoded")).schema
-    return encoded.mapInArrow(lean(run), schema)
+    return run

@@ -105,9 +105,11 @@ def exact():
 def test_bpe(docs, prose, odd, exact, block_bytes):
     rows = [(r[0], r[1]) for r in odd] + prose[:40] + [(700, "<|endoftext|> it's  we'll x y 12,345\r\n\t z "), (701, "日本語テキスト🙂🙂"), (702, "\x00\x1c\x85 a"), (703, "'S 'LL")]
     out = bpe.decode(bpe.encode(docs(rows), PATH, PATTERN, block_bytes), PATH).collect()
+    both = bpe.encode(docs(rows), PATH, PATTERN, block_bytes, decoded=True)
+    assert sorted(map(str, both.collect())) == sorted(map(str, out)) and both.columns == ["doc_id", "ids", "decoded"]
     want = sorted((str(i), exact.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
     assert sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in out) == want
 
 
 def test_bpe_empty(docs):
-    assert bpe.decode(bpe.encode(docs([]), PATH, PATTERN), PATH).collect() == []
+    assert bpe.decode(bpe.encode(docs([]), PATH, PATTERN), PATH).collect() == bpe.encode(docs([]), PATH, PATTERN, decoded=True).collect() == []
