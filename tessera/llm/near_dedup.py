@@ -16,8 +16,8 @@ is 2e-8, and for sets that the sketch holds whole, two in a row are always share
 3. Long lists (common passages, very large groups) would give too many pairs. A member of
    COMMON_KEYS open long lists at most has all its other keys in step 2: at 0.75 the chance
    that a similar set shares none of those is below 4e-7. The other members (half of them is
-   common text) are listed once more, by each retained value; of these lists the short ones give all
-   their pairs across components. At 0.75, six in seven values of the smaller set and three
+   common text) are listed once more, by each retained value but those that the long lists show
+   to be common; of these lists the short ones give all their pairs across components. At 0.75, six in seven values of the smaller set and three
    in four of the larger one are shared; a member that has EASY of its FIRST smallest values
    in short lists shares none of them with a chance below 1e-7.
 4. Members that have less (whatever is rare in them is little) are compared with each
@@ -56,6 +56,8 @@ COMMON_KEYS = 7
 EASY, FIRST = 12, 24
 #: Of K union values, so many must be shared: at 0.75 fewer are with a chance of 1e-7.
 LEAST_SHARED = 11
+#: Keys of long lists whose values are left out of the lists by single values, at most: the most frequent ones, named in the plan.
+KNOWN = 500
 #: Partners that are compared with one set in one piece, on average.
 DEAL = 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -278,10 +280,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     if not long_.isEmpty():
         asked = long_.groupBy("rep").agg(F.max("n").alias("n"), F.min("comp").alias("comp"), F.count(F.lit(1)).alias("m")).where((F.col("m") > COMMON_KEYS) | (F.col("n") <= K)).drop("m")
         asked = stored(asked.join(classes.select("rep", "n", "sketch"), ["rep", "n"]))
-        values, listed = _lists(asked.select("rep", "n", "comp", F.posexplode("sketch").alias("place", "key")))
+        known = _known_common(long_, asked)
+        values, listed = _lists(_by_value(asked, known))
         more = _verified(_promising(_pairs(values, percent), classes, percent), texts, shingle, percent)
         edges = stored(edges.unionAll(more))
-        common = values.where((F.col("place") < FIRST) & (F.col("c") > SHORT)).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("common"))
+        often = values.where((F.col("place") < FIRST) & (F.col("c") > SHORT)).select("rep", "n", F.lit(1).alias("common"))
+        early = asked.select("rep", "n", F.size(F.filter(F.slice("sketch", 1, FIRST), lambda v: v.isin(known))).alias("common")).where("common > 0")
+        common = often.unionAll(early).groupBy("rep", "n").agg(F.sum("common").alias("common"))
         hard = common.where(F.least(F.col("n"), F.lit(FIRST)) - F.col("common") < EASY).select("rep").distinct()
         long_ = stored(long_.join(hard, "rep", "left_semi"))
         edges = stored(edges.unionAll(_across(_open(long_.drop("comp"), edges, listed), texts, shingle, percent)))
@@ -307,6 +312,21 @@ def _lists(keys: DataFrame) -> tuple[DataFrame, int]:
     return stored(with_sums(keys, shared, ["key"], "c", total)), total
 
 
+def _known_common(lists: DataFrame, asked: DataFrame) -> list[int]:
+    """Values that more than SHORT of the classes asked hold, as their long lists show: every member of a list holds both values of its key. Of those, the most frequent ones."""
+    held = lists.join(asked.select("rep", "n").distinct(), ["rep", "n"], "left_semi").groupBy("key").agg(F.countDistinct("rep").alias("c"), F.min(F.struct("rep", "n")).alias("one"))
+    keys = held.where(F.col("c") > SHORT).orderBy(F.col("c").desc(), "key").limit(KNOWN).select("key", "one.*")
+    steps = F.zip_with(F.slice("sketch", F.lit(1), F.size("sketch") - 1), F.slice("sketch", F.lit(2), F.size("sketch")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    both = F.filter(steps, lambda x: F.xxhash64(x["a"], x["b"]) == F.col("key"))
+    return sorted({v for r in F.broadcast(keys).join(asked, ["rep", "n"]).select(both.alias("both")).collect() for x in r["both"] for v in x})
+
+
+def _by_value(asked: DataFrame, known: list[int]) -> DataFrame:
+    """A row (rep, n, comp, place, key) for each retained value that isn't known to be common: a known one's list is long, so it has no pairs to give."""
+    places = F.transform("sketch", lambda v, i: F.struct(i.alias("place"), v.alias("key")))
+    return asked.select("rep", "n", "comp", F.explode(F.filter(places, lambda x: ~x["key"].isin(known))).alias("x")).select("rep", "n", "comp", "x.place", "x.key")
+
+
 def _open(lists: DataFrame, edges: DataFrame, total: int) -> DataFrame:
     """The lists that hold several components, with comp: the component of each member."""
     labelled = _labelled(lists, edges)

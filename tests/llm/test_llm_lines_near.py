@@ -147,6 +147,24 @@ def test_near_with_a_common_passage(docs):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_common_values_are_not_listed(docs, monkeypatch):
+    """What long lists show to be common is counted, not listed by single values; links are the same with and without."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = [passage + [word() for _ in range(rng.randint(5, 45))] for _ in range(150)]
+    rows += [[w if rng.random() > 0.01 else word() for w in rows[i]] for i in range(0, 60, 3)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    listed, plain = [], near_dedup._lists
+    monkeypatch.setattr(near_dedup, "_lists", lambda keys: listed.append(keys) or plain(keys))
+    check_near(rows, near_dedup.near_duplicates(docs(rows)).collect())
+    asked = {r["rep"] for r in listed[1].select("rep").distinct().collect()}
+    kept = sum(min(near_dedup.K, len(shingles(dict(rows)[i]))) for i in asked)
+    assert len(asked) > near_dedup.SHORT and listed[1].count() < 0.8 * kept
+    monkeypatch.setattr(near_dedup, "KNOWN", 1)
+    check_near(rows, near_dedup.near_duplicates(docs(rows)).collect())
+
+
 def test_near_small_sets(docs):
     rows = [(i, " ".join(f"w{j}" for j in range(a, a + n))) for i, (a, n) in enumerate([(0, 7), (0, 8), (1, 8), (0, 5), (0, 4), (0, 4), (0, 9), (3, 40), (4, 40), (3, 60)])]
     check_near(rows, near_dedup.near_duplicates(docs(rows)).collect())
