@@ -79,6 +79,24 @@ def test_shard_is_exact(prose, monkeypatch, block, share, cells):
     assert len(shard.row[shard.row >= 0]) <= cells / shard.n
 
 
+@pytest.mark.parametrize("held", [2, 1_000_000])
+def test_frequencies_are_summed(prose, monkeypatch, held):
+    """A task sends one row for each term, not one for each term and shard, unless it holds too many."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "HELD_TERMS", held)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in prose], "text": [t for _, t in prose]})
+    shards = list(search._shard_rows([batch], 20, 1 << 30))
+    got = [(t, n) for b in search._frequencies(shards) for t, n in zip(b.column("term").to_pylist(), b.column("df").to_pylist(), strict=True)]
+    of, want, sums = search.Terms(), Counter(), Counter()
+    for _, t in prose:
+        want.update(of(t)[0].tolist())
+    for t, n in got:
+        sums[t] += n
+    assert sums == want and len(shards) > 5
+    assert held == 2 or len(got) == len(want)
+
+
 def test_every_row_is_asked(docs):
     """Rows with one id are separate queries, whatever their order."""
     rows, asked = [(1, "a b"), (2, "c d"), (3, "a d")], [(50, "a b"), (50, "c"), (50, "a b")]
