@@ -5,11 +5,12 @@ A word's embedding is the mean of the hashed embeddings of the word and of its f
 maximum, and a logistic layer weighs the maxima. As filters are linear, each distinct word
 meets them once, and a window is the sum of its words' parts.
 
-Training sees a bounded sample of labelled documents, in the order of a hash of their ids.
-The embeddings start from the smoothed log odds of each bucket in the sample, so that the
-maxima point at telling words from the first step. Class sizes of the sample are corrected
-for in the bias. On a fifth of the sample, held out of training, a threshold is calibrated
-for each language; the language decides which threshold applies and never enters a score.
+Training sees every labelled document. They are dealt over parts of bounded size by a hash of
+their ids; in each round every part trains on its documents, in a task of its own, and the
+parameters are averaged. The embeddings start from the smoothed log odds of each bucket in all
+labelled documents, so that the maxima point at telling words from the first step. On a fifth
+of them, held out of the rounds' training, a threshold is calibrated for each language; the language decides
+which threshold applies and never enters a score.
 
 Memory: texts are scored some 100,000 words at a time, also within a text.
 
@@ -22,22 +23,26 @@ give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import labelled_sample, lean, small_batches
+from ._shared import BROADCAST_ROWS, lean, small_batches, stored
 
 _words = re.compile(r"\w+").findall
 PREFIXES = (3, 4, 5, 6)
 WIDTHS = (1, 2, 3)
 CHUNK, CACHE = 100_000, 200_000
-#: Characters of the labelled sample, at most.
+#: Characters of a part of the labelled documents, on average at most.
 MOST_CHARS = 64 << 20
+#: Rounds of training, epochs of each part in a round; pieces of the parameters when they are averaged.
+ROUNDS, EPOCHS, PIECES = 3, 2, 16
 
 
 def _found(text: str):
@@ -90,13 +95,15 @@ class Network:
         self.bias = np.zeros((len(WIDTHS), filters), np.float32)
         self.out = rng.normal(0, 0.1, (len(WIDTHS), filters)).astype(np.float32)
         self.base = 0.0
+        #: Sums of squared gradients, which the steps of training shrink with.
+        self.steps = {"embed": np.full(buckets + 1, 1e-4, np.float32), "out": np.full(self.out.shape, 1e-6), "bias": np.full(self.bias.shape, 1e-6), "base": np.full(1, 1e-6)}
+        self.steps |= {f"conv{k}.{j}": np.full(c[j].shape, 1e-6) for k, c in enumerate(self.conv) for j in range(len(c))}
 
-    def warm(self, docs: list[np.ndarray], parts: np.ndarray, labels: np.ndarray) -> None:
-        """The first size of every embedding: log odds of its bucket; one filter of width 1 reads it."""
-        seen = np.zeros((2, self.buckets + 1))
-        for d, y in zip(docs, labels, strict=True):
-            seen[int(y), np.unique(parts[d])] += 1
-        n = np.array([max(1, (labels == 0).sum()), max(1, labels.sum())])
+    def warm(self, seen: np.ndarray, n: np.ndarray) -> None:
+        """The first size of every embedding: log odds of its bucket; one filter of width 1 reads it.
+
+        seen: documents of each class with each bucket; n: documents of each class."""
+        n = np.maximum(1, n)
         odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
         odds *= np.minimum(1, seen.sum(0) / 3)  # a few sightings are little evidence
         self.embed[:, 0] = np.clip(odds, -3, 3)
@@ -104,6 +111,18 @@ class Network:
         for c in self.conv:
             c[:, 0, 0] = 1.0 / len(c)
         self.out[:, 0] = 0.5
+        self.base = float(np.log((n[1] + 1) / (n[0] + 1))) - 1
+
+    def parameters(self) -> np.ndarray:
+        return np.concatenate([np.ravel(x) for x in (self.embed, *self.conv, self.bias, self.out, *self.steps.values(), self.base)]).astype(np.float64)
+
+    def take(self, values: np.ndarray) -> None:
+        """The inverse of `parameters`."""
+        at = 0
+        for x in (self.embed, *self.conv, self.bias, self.out, *self.steps.values()):
+            x[...] = values[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.base = float(values[at])
 
     def windows(self, tokens: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
         """Values of the filters of a width at each place; the text is followed by enough separators."""
@@ -165,13 +184,12 @@ class Network:
         return self.head(best)
 
     def fit(self, docs: list[np.ndarray], parts: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 7) -> None:
+        """Epochs over the documents, from the parameters as they are."""
         rng = np.random.default_rng(seed)
-        self.warm(docs, parts, labels)
-        self.base = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))) - 1
-        seen = {"embed": np.full(self.buckets + 1, 1e-4, np.float32)}
+        seen = self.steps
 
         def adapt(name, value, grad):
-            old = seen.setdefault(name, np.full(np.shape(value), 1e-6))
+            old = seen[name]
             old += grad * grad
             return value - rate * grad / np.sqrt(old)
 
@@ -209,41 +227,128 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+PACKED = ("parts", "tokens", "sizes", "labels", "held")
+
+
+def _pack(buckets: int):
+    """The rows of a part as one row: buckets of its words, words of its documents, labels."""
+
+    def run(table: pa.Table) -> pa.Table:
+        known = Vocabulary(buckets)
+        rows = sorted(zip(*[table.column(c).to_pylist() for c in ("place", "doc_id", "toxic", "held", "lang")], range(len(table)), strict=True), key=lambda r: (r[0], str(r[1])))
+        docs = [np.array(known(table.column("text")[r[-1]].as_py() or ""), np.int32) for r in rows]
+        arrays = (known.parts, np.concatenate(docs), np.array([len(d) for d in docs]), np.array([int(r[2]) for r in rows]), np.array([r[3] for r in rows], bool))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        cells = {n: [pack(np.ascontiguousarray(x).tobytes())] for n, x in zip(PACKED, arrays, strict=True)}
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), **{n: pa.array(v, pa.binary()) for n, v in cells.items()}, "langs": pa.array([[r[4] for r in rows]], pa.list_(pa.string()))})
+
+    return run
+
+
+def _unpacked(batches):
+    """(part, documents, buckets of their words, labels, held, langs) of each packed part."""
+    for b in batches:
+        for i in range(b.num_rows):
+            parts, tokens, sizes, labels, held = (np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column(n)[i].as_py()), t) for n, t in zip(PACKED, (np.int32, np.int32, np.int64, np.int64, bool), strict=True))
+            docs = np.split(tokens, np.cumsum(sizes)[:-1])
+            yield b.column("part")[i].as_py(), docs, parts.reshape(-1, 1 + len(PREFIXES)), labels, held, b.column("langs")[i].as_py()
+
+
+def _seen(buckets: int):
+    def run(batches):
+        seen, n = np.zeros((2, buckets + 1), np.int64), np.zeros(2, np.int64)
+        for _, docs, parts, labels, held, _ in _unpacked(batches):
+            for i in np.flatnonzero(~held):
+                seen[labels[i], np.unique(parts[docs[i]])] += 1
+            n += np.bincount(labels[~held], minlength=2)
+        y, bucket = np.nonzero(seen)
+        cells = [np.append(y, [0, 1]), np.append(bucket, [-1, -1]), np.append(seen[y, bucket], n)]  # bucket -1: documents
+        for a in range(0, len(cells[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], pa.int64()) for c in cells], ["y", "bucket", "n"])
+
+    return run
+
+
+def _epochs(shared, epochs: int):
+    """Each part's parameters after its epochs, in pieces, times its documents."""
+
+    def run(batches):
+        for part, docs, parts, labels, held, _ in _unpacked(batches):
+            own = np.flatnonzero(~held)
+            if not len(own):
+                continue
+            net = copy.deepcopy(shared.value)
+            net.fit([docs[i] for i in own], parts, labels[own], epochs=epochs, seed=part)
+            pieces = np.array_split(net.parameters() * len(own), PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int64()), pa.array([part] * PIECES, pa.int64()), pa.array([len(own)] * PIECES, pa.int64()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "part", "n", "sums"])
+
+    return run
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    order = np.argsort(table.column("part").to_numpy())
+    total = sum(np.frombuffer(table.column("sums")[int(i)].as_py()) for i in order) / table.column("n").to_numpy().sum()
+    return pa.table({"piece": table.column("piece")[:1].cast(pa.int64()), "mean": pa.array([total.tobytes()], pa.binary())})
+
+
+def _held_scores(shared, grid: np.ndarray):
+    """Held documents: language, label, and how many thresholds of the grid the score reaches."""
+
+    def run(batches):
+        net = shared.value
+        for _, docs, parts, labels, held, langs in _unpacked(batches):
+            at = np.flatnonzero(held)
+            scores = [_sigmoid(net.forward([docs[i]], parts) if len(docs[i]) <= CHUNK else net.long(docs[i], parts, CHUNK))[0] for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array(labels[at], pa.int64()), pa.array(np.searchsorted(grid, np.array(scores, float), "right"), pa.int64())], ["lang", "y", "bin"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, threshold: float = 0.3, most_chars: int = MOST_CHARS) -> tuple[Network, dict[str, float]]:
-    """The network and the thresholds by language, from at most `most` labelled documents of
-    each class, with `most_chars` characters together.
+    """The network and the thresholds by language, from all labelled documents.
 
     docs: doc_id, text, lang; labels: doc_id, toxic (rows that may be learned from). An id
-    with several labels has the greatest one. Only the sample's ids are broadcast, and only
-    its texts come to the driver.
+    with several labels has the greatest one. A part has some 2 * `most` documents and
+    `most_chars` characters, and is trained on in one task; more documents give more parts.
     """
-    labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    part = lambda y: labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = labelled_sample(docs.select("doc_id", "text", "lang"), part(0).unionAll(part(1)), order, most_chars)
+    spark = docs.sparkSession
+    labels = stored(labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, "doc_id")
+    place = F.xxhash64(F.col("doc_id"), F.lit("place"))
+    held = F.pmod(place, F.lit(5)) == 4
+    n, chars, least, greatest, kinds = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0)), F.min("toxic"), F.max("toxic"), F.count_distinct(F.when(~held, F.col("toxic")))).first()
     net = Network()
-    y = np.array([int(r["toxic"]) for r in rows])
-    if not len(rows) or y.min() == y.max():
+    if not n or least == greatest:
+        sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
         net.out[:], net.base = 0, float(np.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)))
         return net, {}
-    known = Vocabulary(net.buckets)
-    tokens = [np.array(known(r["text"] or ""), np.int64) for r in rows]
-    parts = known.parts.copy()
-    held = np.arange(len(rows)) % 5 == 4
-    if (len(set(y[~held])) < 2) or held.sum() == 0:
-        held[:] = False
-    net.fit([tokens[i] for i in np.flatnonzero(~held)], parts, y[~held])
-    # The sample holds more toxic documents than the corpus: the bias takes that back.
-    net.base += float(np.log(sizes[1] / sizes[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    n_parts = max(1, -(-n // (2 * most)), -(-chars // most_chars))
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("text", "lang"), F.struct(F.coalesce(F.xxhash64("text"), F.lit(0)), "lang")).alias("r"))
+    rows = rows.select("doc_id", "toxic", "r.*", place.alias("place"), F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("long").alias("part"), (held if kinds == 2 else F.lit(False)).alias("held"))
+    packed = stored(rows.groupBy("part").applyInArrow(_pack(net.buckets), "part long, " + ", ".join(f"{c} binary" for c in PACKED) + ", langs array<string>"))
+
+    counts = packed.mapInArrow(lean(_seen(net.buckets)), "y long, bucket long, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    y, bucket, found = (counts.column(c).to_numpy() for c in ("y", "bucket", "n"))
+    seen, sizes = np.zeros((2, net.buckets + 1)), np.zeros(2)
+    seen[y[bucket >= 0], bucket[bucket >= 0]] = found[bucket >= 0]
+    sizes[y[bucket < 0]] = found[bucket < 0]
+    net.warm(seen, sizes)
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(net)
+        means = packed.mapInArrow(lean(_epochs(shared, EPOCHS)), "piece long, part long, n long, sums binary").groupBy("piece").applyInArrow(_mean, "piece long, mean binary").toArrow().sort_by("piece")
+        if len(means):
+            net.take(np.concatenate([np.frombuffer(x.as_py()) for x in means.column("mean")]))
+        shared.destroy()
+    shared = spark.sparkContext.broadcast(net)
+    grid = np.unique([threshold, *np.round(np.linspace(0.05, 0.95, 19), 2)])
+    bins = packed.mapInArrow(lean(_held_scores(shared, grid)), "lang string, y long, bin long").where("lang is not null").groupBy("lang", "y", "bin").count().collect()
+    shared.destroy()
     limits = {}
-    if held.any():
-        at = np.flatnonzero(held)
-        score = np.concatenate([_sigmoid(net.forward([tokens[i]], parts)) for i in at])
-        for lang in {rows[i]["lang"] for i in at}:
-            own = np.array([rows[i]["lang"] == lang for i in at])
-            limits[lang] = calibrated(score[own], y[at][own], threshold)
-    return net, {k: v for k, v in limits.items() if k is not None}
+    for lang in {r["lang"] for r in bins}:
+        own = [r for r in bins if r["lang"] == lang]
+        times = [r["count"] for r in own]
+        limits[lang] = calibrated(np.repeat([np.append(-1.0, grid)[r["bin"]] for r in own], times), np.repeat([r["y"] for r in own], times), threshold)
+    return net, limits
 
 
 def calibrated(score: np.ndarray, y: np.ndarray, threshold: float) -> float:

@@ -48,6 +48,26 @@ def test_toxicity_ignores_lang_source_and_id(docs, corpus):
     assert score([(1, rows[0][1], "a", "en")]) == score([(77, rows[0][1], "b", None)])
 
 
+def test_toxicity_learns_from_every_label(docs, corpus, monkeypatch):
+    """However small the parts are, all labelled documents count, and several parts learn together."""
+    rows, labels, truth = corpus
+    learn = labels.where("doc_id % 4 != 2")
+    sizes, plain = [], toxicity.Network.warm
+    monkeypatch.setattr(toxicity.Network, "warm", lambda self, seen, n: sizes.append(n.copy()) or plain(self, seen, n))
+    net, limits = toxicity.train(docs(rows).select("doc_id", "text", "lang"), learn, most=40)
+    assert 0.7 * 450 < sizes[0].sum() < 0.9 * 450  # a fifth is for the thresholds
+    got = toxicity.score(docs(rows).select("doc_id", "text", "lang"), net, limits).collect()
+    score = {bool(y): sorted(r["score"] for r in got if r["doc_id"] % 4 == 2 and truth[r["doc_id"]][2] == y) for y in (0, 1)}
+    above = np.searchsorted(score[False], score[True]).mean() / len(score[False])
+    assert above >= 0.95
+
+
+def test_parameters_come_back():
+    net, other = toxicity.Network(64, seed=1), toxicity.Network(64, seed=2)
+    other.take(net.parameters())
+    assert np.array_equal(net.parameters(), other.parameters()) and not np.array_equal(net.parameters(), toxicity.Network(64, seed=2).parameters())
+
+
 def test_scores_dont_depend_on_neighbours():
     rng = np.random.default_rng(1)
     net = toxicity.Network(buckets=64, seed=1)
